@@ -1,0 +1,32 @@
+"""Join helpers: broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A side is broadcast only when it holds at most this many rows (a list of names of
+# ~50 bytes each stays under ~10 MB); beyond it the join is left to the planner
+# (shuffle join, with AQE free to turn it into a broadcast from runtime sizes).
+DEFAULT_BROADCAST_MAX_ROWS = 200_000
+
+
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    Reads at most ``max_rows + 1`` rows (a limit, then a count): a bounded job whose
+    only result on the driver is one number.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def maybe_broadcast(df: DataFrame, mode: str | bool = "auto",
+                    max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
+    """``mode``: "auto" (hint only after the size check), True/"always", False/"never"."""
+    if mode is True or mode == "always":
+        return F.broadcast(df)
+    if mode is False or mode == "never":
+        return df
+    if mode != "auto":
+        raise ValueError("mode must be 'auto', 'always' or 'never'")
+    return F.broadcast(df) if has_at_most(df, max_rows) else df
