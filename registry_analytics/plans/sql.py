@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import WHITESPACE
+
 STUDY_TYPES = """
 SELECT Type, count(*) AS count
 FROM {trials}
@@ -20,7 +22,7 @@ ORDER BY count DESC, Type
 
 TOP_CONDITIONS = """
 SELECT condition, count(*) AS count
-FROM (SELECT regexp_replace(c, '(?U)^\\\\s+|\\\\s+\\\\z', '') AS condition
+FROM (SELECT btrim(c, {ws}) AS condition
       FROM {trials} LATERAL VIEW explode(split(Conditions, '[|]', -1)) t AS c)
 WHERE condition <> ''
 GROUP BY condition
@@ -33,7 +35,7 @@ WITH counts AS (
   SELECT Sponsor, count(*) AS count FROM {trials} GROUP BY Sponsor
 ), listed AS (
   SELECT DISTINCT name FROM (
-    SELECT regexp_replace(translate(Parent_Company, ',', ''), '(?U)^\\\\s*"*|"*\\\\s*\\\\z', '') AS name
+    SELECT btrim(btrim(translate(Parent_Company, ',', ''), {ws}), '"') AS name
     FROM {companies})
   WHERE name IS NOT NULL AND name <> ''
 )
@@ -82,12 +84,13 @@ def study_types(spark: SparkSession, trials: DataFrame) -> DataFrame:
 
 
 def top_conditions(spark: SparkSession, trials: DataFrame, k: int = 5) -> DataFrame:
-    return spark.sql(TOP_CONDITIONS, trials=trials, k=int(k))
+    return spark.sql(TOP_CONDITIONS, trials=trials, k=int(k), ws=WHITESPACE)
 
 
 def top_unlisted_sponsors(spark: SparkSession, trials: DataFrame, companies: DataFrame,
                           k: int = 10) -> DataFrame:
-    return spark.sql(TOP_UNLISTED_SPONSORS, trials=trials, companies=companies, k=int(k))
+    return spark.sql(TOP_UNLISTED_SPONSORS, trials=trials, companies=companies, k=int(k),
+                     ws=WHITESPACE)
 
 
 def completed_by_month(spark: SparkSession, trials: DataFrame, year: str | int) -> DataFrame:

@@ -93,26 +93,46 @@ def parse_lines(lines: DataFrame, columns: Sequence[str] | StructType, sep: str
             c = strip_quotes(c)
         return c
 
-    parsed = tok.select(*keep, *[field(i).alias(name) for i, name in enumerate(names)])
+    parsed = tok.select(*keep, "_tok", *[field(i).alias(name) for i, name in enumerate(names)])
 
     if header is None:
-        return parsed
+        return parsed.drop("_tok")
     header_names = names if header == "columns" else list(header)
     if len(header_names) != n:
         raise ValueError("header must name every column")
-    return parsed.filter(~_is_header(header_names, names))
+    return parsed.filter(~_is_header(header_names, clean)).drop("_tok")
 
 
-def _is_header(header_names: list[str], names: list[str]) -> Column:
-    """True exactly for rows whose cleaned fields equal the header names.
+def _cleaned_tokens(clean: str, n: int) -> Column:
+    """All tokens of a row cleaned by ``clean`` and padded to ``n``, as one array.
 
-    A cheap necessary condition on the raw first token (commas removed, substring test)
-    runs first, so the full comparison of every field only runs for candidate rows.
+    A higher-order ``transform`` keeps the generated code of the filter small whatever
+    the number of columns (one call instead of one inlined expression per column).
     """
+    tok = F.col("_tok")
+    if clean == "full":
+        arr = F.transform(tok, lambda x: F.coalesce(clean_token(x), F.lit("")))
+    elif clean == "none":
+        arr = tok
+    else:
+        arr = F.transform(tok, lambda x, i: F.when((i == 0) | (i == n - 1),
+                                                  strip_quotes(delete_commas(x)))
+                          .otherwise(delete_commas(x)))
+    pad = F.lit(None).cast("string") if clean == "edges" else F.lit("")
+    missing = F.greatest(F.lit(n) - F.size(tok), F.lit(0))
+    return F.concat(arr, F.array_repeat(pad, missing))
+
+
+def _is_header(header_names: list[str], clean: str) -> Column:
+    """True exactly for rows whose cleaned, padded fields equal the header names.
+
+    A cheap necessary condition on the raw token of the first named column (commas
+    removed, substring test) runs first; the full comparison only runs for candidates.
+    """
+    n = len(header_names)
+    expected = F.array(*[F.lit(h) for h in header_names])
+    full = _cleaned_tokens(clean, n).eqNullSafe(expected)
     first = next((i for i, h in enumerate(header_names) if h), None)
-    full = F.lit(True)
-    for name, h in zip(names, header_names):
-        full = full & F.col(name).eqNullSafe(F.lit(h))
     if first is None:
         return full
     raw_first = delete_commas(F.get(F.col("_tok"), first))
