@@ -104,13 +104,18 @@ def share(counts: DataFrame, count_col: str = "count", out_col: str = "pct",
           digits: int = 1) -> DataFrame:
     """Percentage of each group in the total, rounded half-up to ``digits`` decimals.
 
-    The total is a one-row aggregate attached by a broadcast cross join (one row is the
-    size bound), so the groups stay distributed however many there are. Rounding is
-    exact integer arithmetic, free of binary-fraction ties.
+    The total is a scalar subquery, so the groups stay distributed however many there
+    are. Rounding is exact integer arithmetic, free of binary-fraction ties.
     """
+    total = counts.agg(F.sum(F.col(count_col))).scalar()
+    return counts.withColumn(out_col, _half_up_percent(F.col(count_col), total, digits))
+
+
+def _half_up_percent(part: Column, total: Column, digits: int) -> Column:
+    """``round(part * 100 / total, digits)`` half-up: floor((2 * part * 100 * 10^d +
+    total) / (2 * total)) / 10^d, with the floor taken on integers."""
     scale = 10 ** digits
-    total = counts.agg(F.sum(F.col(count_col)).alias("_total"))
-    units = F.expr(f"(`{count_col}` * {200 * scale} + _total) div (2 * _total)")
-    return (counts.crossJoin(F.broadcast(total))
-            .withColumn(out_col, units.cast("double") / F.lit(float(scale)))
-            .drop("_total"))
+    num = part * (200 * scale) + total
+    den = total * 2
+    units = ((num - F.pmod(num, den)) / den).cast("long")
+    return units.cast("double") / F.lit(float(scale))

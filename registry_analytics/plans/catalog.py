@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from ..schemas import ACTION_COL, ITEM_COL, RATING_COL, USER_COL
 from ..sources import fixtures as fx
 from ..sources.csv import read_company_list
 from ..sources.lines import parse_narrow, parse_wide, read_lines
+from ..streaming.ingest import counts_table
 from . import questions as qn
 from . import sql as sq
 
@@ -55,15 +57,31 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.normalize_ratings(r).filter(F.col(rc.NORMALIZED_COL).isNotNull())
 
 
+def _fit_on_cached(train: DataFrame, fit):
+    """Run an iterative fit on a persisted training set, released right after.
+
+    ALS passes over its input several times while building its rating blocks; the
+    persisted copy (memory, spilling to disk) keeps those passes from re-running the
+    joins and the index. Losing an executor only drops cached blocks, which Spark
+    rebuilds from lineage.
+    """
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return fit(train)
+    finally:
+        train.unpersist()
+
+
 def als_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = rc.split_by_key(_prepared(spark, sf_dir), "interaction_id")
-    model = rc.fit_als(train, **rc.FIT_DEFAULTS)
+    model = _fit_on_cached(train, lambda t: rc.fit_als(t, **rc.FIT_DEFAULTS))
     return rc.rmse_frame(model.transform(test))
 
 
 def als_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = rc.split_by_key(_prepared(spark, sf_dir), "interaction_id")
-    res = rc.tune(train, TUNE_GRID, train_ratio=0.8, parallelism=2)
+    res = _fit_on_cached(train, lambda t: rc.tune(t, TUNE_GRID, train_ratio=0.8,
+                                                  parallelism=2))
     scored = rc.rmse_frame(res.model.bestModel.transform(test))
     p = res.best_params
     return scored.select(
@@ -91,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_conditions_untrimmed": lambda s, d: qn.top_conditions(wide(s, d), 5, trim=False),
     "top_unlisted_sponsors": lambda s, d: qn.top_unlisted_sponsors(wide(s, d),
                                                                    companies(s, d), 10),
+    "unlisted_sponsor_rows": lambda s, d: qn.unlisted_sponsor_rows(wide(s, d),
+                                                                   companies(s, d), 10),
     "completed_by_month": lambda s, d: qn.completed_months(wide(s, d), MONTH_YEAR),
     # further analyses
     "top_collaborators": lambda s, d: qn.top_collaborators(wide(s, d), 10),
@@ -99,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "funder_counts": lambda s, d: qn.funder_counts(wide(s, d)),
     "study_design_share": lambda s, d: qn.study_design_share(wide(s, d)),
     "starts_by_year": lambda s, d: qn.starts_by_year(wide(s, d)),
+    "starts_by_year_split": lambda s, d: qn.starts_by_year_split(wide(s, d)),
     "enrollment_histogram": lambda s, d: qn.enrollment_histogram(wide(s, d), 20),
     "avg_enrollment_by_funder": lambda s, d: qn.avg_enrollment_by_funder(wide(s, d)),
     "enrollment_by_sponsor": lambda s, d: qn.enrollment_by_sponsor(wide(s, d), 10),
@@ -112,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sql_completed_by_month": lambda s, d: sq.completed_by_month(s, wide(s, d), MONTH_YEAR),
     "sql_avg_enrollment": lambda s, d: sq.avg_enrollment(s, wide(s, d)),
     "sql_enrollment_by_sponsor": lambda s, d: sq.enrollment_by_sponsor(s, wide(s, d), 10),
+    # streaming: the same parser over a file stream, run to the end of the input
+    "stream_study_types": lambda s, d: counts_table(
+        s, fx.materialize(s, d)["wide"], "Type", max_files_per_trigger=2),
     # interactions and recommender
     "action_counts": lambda s, d: fq.value_counts(
         ratings(s, d), [USER_COL, ITEM_COL, RATING_COL, ACTION_COL], None),

@@ -150,6 +150,8 @@ GROUP BY 1"""),
 FROM wide GROUP BY "Study Design\""""),
     "starts_by_year": _m("""SELECT substr("Start_Cleaned", 1, 4) AS start_year, count(*) AS "count"
 FROM months GROUP BY 1"""),
+    "starts_by_year_split": _w("""SELECT split_part("Start", '-', 1) AS start_year,
+  count(*) AS "count" FROM wide GROUP BY 1"""),
     "enrollment_histogram": _w("""
 , v AS (SELECT CAST(""" + _INT_TEXT + """ AS DOUBLE) AS v FROM wide
         WHERE """ + _INT_TEXT + """ IS NOT NULL),
@@ -192,6 +194,8 @@ FROM inter, (SELECT min("Status") AS lo, max("Status") AS hi FROM inter)"""),
 
 # The SQL-form queries answer the same questions as their DataFrame twins.
 ORACLE["sql_row_count"] = ORACLE["row_count"]
+ORACLE["stream_study_types"] = ORACLE["study_types"]
+ORACLE["unlisted_sponsor_rows"] = ORACLE["top_unlisted_sponsors"]
 ORACLE["sql_study_types"] = ORACLE["study_types"]
 ORACLE["sql_top_conditions"] = ORACLE["top_conditions"]
 ORACLE["sql_top_unlisted_sponsors"] = ORACLE["top_unlisted_sponsors"]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import format_month, to_month
 from ..functions.numbers import to_int
 from ..operators import frequency as fq
-from ..operators.exclusion import top_unlisted
+from ..operators.exclusion import exclude_listed, top_unlisted
 from ..operators.numeric import avg_by, histogram, sum_by
 from ..operators.periods import completed_by_month, counts_by_year
 from ..schemas import COMPANY_COLUMN
@@ -46,6 +46,15 @@ def top_unlisted_sponsors(trials: DataFrame, companies: DataFrame, k: int = 10,
                         broadcast=broadcast)
 
 
+def unlisted_sponsor_rows(trials: DataFrame, companies: DataFrame, k: int = 10,
+                          broadcast="auto") -> DataFrame:
+    """Same question, row-wise: anti join every trial row against the list (keeps
+    duplicates, like a set subtraction that is not de-duplicated), then count."""
+    rows = exclude_listed(trials.select("Sponsor"), "Sponsor", companies, COMPANY_COLUMN,
+                          broadcast=broadcast)
+    return fq.value_counts(rows, "Sponsor", "desc", k)
+
+
 def completed_months(trials: DataFrame, year: str | int) -> DataFrame:
     """Completed studies per month of ``year`` (needs ``Completion_Cleaned``)."""
     if "Completion_Cleaned" not in trials.columns:
@@ -81,6 +90,11 @@ def starts_by_year(trials: DataFrame) -> DataFrame:
     return counts_by_year(trials, "Start_Cleaned", "prefix", "start_year")
 
 
+def starts_by_year_split(trials: DataFrame) -> DataFrame:
+    """Trials per start year, year = text before the first ``-`` of ``Start``."""
+    return counts_by_year(trials, "Start", "split", "start_year")
+
+
 def enrollment_histogram(trials: DataFrame, bins: int = 20) -> DataFrame:
     return histogram(trials, to_int("Enrollment"), bins)
 

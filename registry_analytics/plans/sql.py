@@ -108,3 +108,13 @@ def enrollment_by_sponsor(spark: SparkSession, trials: DataFrame, k: int = 10) -
 
 def row_count(spark: SparkSession, trials: DataFrame) -> DataFrame:
     return spark.sql(ROW_COUNT, trials=trials)
+
+
+def register(trials: DataFrame, name: str = "clinical_trials",
+             companies: DataFrame | None = None,
+             companies_name: str = "parent_companies") -> None:
+    """Register the cleaned table (and optionally the company list) as session temp
+    views, for users who write their own SQL against fixed names."""
+    trials.createOrReplaceTempView(name)
+    if companies is not None:
+        companies.createOrReplaceTempView(companies_name)

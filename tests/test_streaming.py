@@ -1,0 +1,35 @@
+from registry_analytics.schemas import WIDE_COLUMNS
+from registry_analytics.sources import parse_wide, read_lines
+from registry_analytics.streaming import counts_table, running_counts, stream_release
+
+from .conftest import rows
+
+
+def write_release(folder, n_files=3, per_file=20):
+    header = '"' + "\t".join(WIDE_COLUMNS) + '"'
+    for f in range(n_files):
+        lines = [header]
+        for i in range(per_file):
+            fields = [f"NCT{f}{i:03d}", "t, x"] + [""] * 8 + [f"T{(i * 7 + f) % 4}"] + [""] * 3
+            lines.append('"' + "\t".join(fields) + '"')
+        lines.append("too\tmany\t" + "\t".join(["x"] * 13))
+        (folder / f"release-{f}.txt").write_text("\n".join(lines) + "\n")
+
+
+def test_streamed_counts_equal_batch_counts(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    write_release(src)
+    streamed = counts_table(spark, str(src), "Type", max_files_per_trigger=1)
+    batch = parse_wide(read_lines(spark, str(src))).groupBy("Type").count()
+    assert sorted(rows(streamed)) == sorted(rows(batch))
+    assert sum(r[1] for r in rows(streamed)) == 60
+
+
+def test_stream_release_is_streaming(spark, tmp_path):
+    src = tmp_path / "in2"
+    src.mkdir()
+    write_release(src, n_files=1)
+    df = stream_release(spark, str(src))
+    assert df.isStreaming
+    assert running_counts(df, "Type").isStreaming
