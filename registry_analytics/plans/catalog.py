@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frequency as fq
 from ..operators import recommend as rc
 from ..schemas import ACTION_COL, ITEM_COL, RATING_COL, USER_COL
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources.csv import read_company_list
 from ..sources.lines import parse_narrow, parse_wide, read_lines
@@ -51,37 +51,30 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validated, indexed, normalised ratings."""
-    r = rc.valid_ratings(ratings(spark, sf_dir))
-    r = rc.with_item_index(r)
-    return rc.normalize_ratings(r).filter(F.col(rc.NORMALIZED_COL).isNotNull())
-
+    """Validated, indexed, normalised ratings, checkpointed.
 
-def _fit_on_cached(train: DataFrame, fit):
-    """Run an iterative fit on a persisted training set, released right after.
-
-    ALS passes over its input several times while building its rating blocks; the
-    persisted copy (memory, spilling to disk) keeps those passes from re-running the
-    joins and the index. Losing an executor only drops cached blocks, which Spark
-    rebuilds from lineage.
+    ALS passes over its input several times while building its rating blocks, and the
+    test split is scored afterwards; the reliable checkpoint (in the shared checkpoint
+    directory) computes the joins, the index and the scaling once, cuts the lineage
+    (a lost executor re-reads files instead of re-running the joins) and leaves no
+    cached data behind.
     """
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return fit(train)
-    finally:
-        train.unpersist()
+    ensure_checkpoint_dir(spark)
+    r = rc.valid_ratings(ratings(spark, sf_dir))
+    r = rc.with_item_index(r)
+    r = rc.normalize_ratings(r).filter(F.col(rc.NORMALIZED_COL).isNotNull())
+    return r.select("interaction_id", USER_COL, rc.INDEX_COL, rc.NORMALIZED_COL).checkpoint()
 
 
 def als_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = rc.split_by_key(_prepared(spark, sf_dir), "interaction_id")
-    model = _fit_on_cached(train, lambda t: rc.fit_als(t, **rc.FIT_DEFAULTS))
+    model = rc.fit_als(train, **rc.FIT_DEFAULTS)
     return rc.rmse_frame(model.transform(test))
 
 
 def als_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = rc.split_by_key(_prepared(spark, sf_dir), "interaction_id")
-    res = _fit_on_cached(train, lambda t: rc.tune(t, TUNE_GRID, train_ratio=0.8,
-                                                  parallelism=2))
+    res = rc.tune(train, TUNE_GRID, train_ratio=0.8, parallelism=2)
     scored = rc.rmse_frame(res.model.bestModel.transform(test))
     p = res.best_params
     return scored.select(
