@@ -18,7 +18,7 @@ from ..schemas import ACTION_COL, ITEM_COL, RATING_COL, USER_COL
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources.csv import read_company_list
-from ..sources.lines import parse_narrow, parse_wide, read_lines
+from ..sources.lines import parse_narrow, parse_wide, read_lines, read_release_table
 from ..streaming.ingest import counts_table
 from . import questions as qn
 from . import sql as sq
@@ -34,6 +34,11 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_wide(read_lines(spark, fx.materialize(spark, sf_dir)["wide"]))
 
 
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned wide release as saved once by the ingest (parquet)."""
+    return read_release_table(spark, fx.materialize(spark, sf_dir)["wide_clean"])
+
+
 def narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_narrow(read_lines(spark, fx.materialize(spark, sf_dir)["narrow"]))
 
@@ -94,38 +99,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "month_labels": lambda s, d: qn.month_columns(wide(s, d)).select(
         "Id", "Start_Date", "Completion_Date"),
     # the five questions, DataFrame form
-    "distinct_studies": lambda s, d: qn.distinct_studies(wide(s, d)),
-    "distinct_rows": lambda s, d: qn.distinct_rows(wide(s, d)),
-    "row_count": lambda s, d: qn.row_count(wide(s, d)),
-    "study_types": lambda s, d: qn.study_types(wide(s, d)),
-    "top_conditions": lambda s, d: qn.top_conditions(wide(s, d), 5),
-    "top_conditions_untrimmed": lambda s, d: qn.top_conditions(wide(s, d), 5, trim=False),
-    "top_unlisted_sponsors": lambda s, d: qn.top_unlisted_sponsors(wide(s, d),
+    "distinct_studies": lambda s, d: qn.distinct_studies(trials(s, d)),
+    "distinct_rows": lambda s, d: qn.distinct_rows(trials(s, d)),
+    "row_count": lambda s, d: qn.row_count(trials(s, d)),
+    "study_types": lambda s, d: qn.study_types(trials(s, d)),
+    "top_conditions": lambda s, d: qn.top_conditions(trials(s, d), 5),
+    "top_conditions_untrimmed": lambda s, d: qn.top_conditions(trials(s, d), 5, trim=False),
+    "top_unlisted_sponsors": lambda s, d: qn.top_unlisted_sponsors(trials(s, d),
                                                                    companies(s, d), 10),
-    "unlisted_sponsor_rows": lambda s, d: qn.unlisted_sponsor_rows(wide(s, d),
+    "unlisted_sponsor_rows": lambda s, d: qn.unlisted_sponsor_rows(trials(s, d),
                                                                    companies(s, d), 10),
-    "completed_by_month": lambda s, d: qn.completed_months(wide(s, d), MONTH_YEAR),
+    "completed_by_month": lambda s, d: qn.completed_months(trials(s, d), MONTH_YEAR),
     # further analyses
-    "top_collaborators": lambda s, d: qn.top_collaborators(wide(s, d), 10),
-    "status_counts": lambda s, d: qn.status_counts(wide(s, d)),
-    "top_sponsors": lambda s, d: qn.top_sponsors(wide(s, d), 5),
-    "funder_counts": lambda s, d: qn.funder_counts(wide(s, d)),
-    "study_design_share": lambda s, d: qn.study_design_share(wide(s, d)),
-    "starts_by_year": lambda s, d: qn.starts_by_year(wide(s, d)),
-    "starts_by_year_split": lambda s, d: qn.starts_by_year_split(wide(s, d)),
-    "enrollment_histogram": lambda s, d: qn.enrollment_histogram(wide(s, d), 20),
-    "avg_enrollment_by_funder": lambda s, d: qn.avg_enrollment_by_funder(wide(s, d)),
-    "enrollment_by_sponsor": lambda s, d: qn.enrollment_by_sponsor(wide(s, d), 10),
+    "top_collaborators": lambda s, d: qn.top_collaborators(trials(s, d), 10),
+    "status_counts": lambda s, d: qn.status_counts(trials(s, d)),
+    "top_sponsors": lambda s, d: qn.top_sponsors(trials(s, d), 5),
+    "funder_counts": lambda s, d: qn.funder_counts(trials(s, d)),
+    "study_design_share": lambda s, d: qn.study_design_share(trials(s, d)),
+    "starts_by_year": lambda s, d: qn.starts_by_year(trials(s, d)),
+    "starts_by_year_split": lambda s, d: qn.starts_by_year_split(trials(s, d)),
+    "enrollment_histogram": lambda s, d: qn.enrollment_histogram(trials(s, d), 20),
+    "avg_enrollment_by_funder": lambda s, d: qn.avg_enrollment_by_funder(trials(s, d)),
+    "enrollment_by_sponsor": lambda s, d: qn.enrollment_by_sponsor(trials(s, d), 10),
     "narrow_status_counts": lambda s, d: qn.status_counts(narrow(s, d)),
     # SQL form
-    "sql_row_count": lambda s, d: sq.row_count(s, wide(s, d)),
-    "sql_study_types": lambda s, d: sq.study_types(s, wide(s, d)),
-    "sql_top_conditions": lambda s, d: sq.top_conditions(s, wide(s, d), 5),
+    "sql_row_count": lambda s, d: sq.row_count(s, trials(s, d)),
+    "sql_study_types": lambda s, d: sq.study_types(s, trials(s, d)),
+    "sql_top_conditions": lambda s, d: sq.top_conditions(s, trials(s, d), 5),
     "sql_top_unlisted_sponsors": lambda s, d: sq.top_unlisted_sponsors(
-        s, wide(s, d), companies(s, d), 10),
-    "sql_completed_by_month": lambda s, d: sq.completed_by_month(s, wide(s, d), MONTH_YEAR),
-    "sql_avg_enrollment": lambda s, d: sq.avg_enrollment(s, wide(s, d)),
-    "sql_enrollment_by_sponsor": lambda s, d: sq.enrollment_by_sponsor(s, wide(s, d), 10),
+        s, trials(s, d), companies(s, d), 10),
+    "sql_completed_by_month": lambda s, d: sq.completed_by_month(s, trials(s, d), MONTH_YEAR),
+    "sql_avg_enrollment": lambda s, d: sq.avg_enrollment(s, trials(s, d)),
+    "sql_enrollment_by_sponsor": lambda s, d: sq.enrollment_by_sponsor(s, trials(s, d), 10),
     # streaming: the same parser over a file stream, run to the end of the input
     "stream_study_types": lambda s, d: counts_table(
         s, fx.materialize(s, d)["wide"], "Type", max_files_per_trigger=2),

@@ -164,3 +164,18 @@ def load_release(spark: SparkSession, path, columns=WIDE_COLUMNS, sep: str = "\t
         from ..functions.dates import with_date_columns
         df = with_date_columns(df)
     return df
+
+
+def save_release(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """Write a cleaned release as a parquet table (ingest once, query many times).
+
+    Questions then read only the columns they use and get filters pushed into the
+    scan, instead of re-splitting and re-cleaning every text line per question.
+    """
+    df.write.mode(mode).parquet(path)
+    return path
+
+
+def read_release_table(spark: SparkSession, path: str) -> DataFrame:
+    """Read a table written by :func:`save_release`."""
+    return spark.read.parquet(path)
