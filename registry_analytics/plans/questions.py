@@ -56,9 +56,16 @@ def unlisted_sponsor_rows(trials: DataFrame, companies: DataFrame, k: int = 10,
 
 
 def completed_months(trials: DataFrame, year: str | int) -> DataFrame:
-    """Completed studies per month of ``year`` (needs ``Completion_Cleaned``)."""
+    """Completed studies per month of ``year``.
+
+    ``Completion_Cleaned`` is derived when absent. Month truncation only drops a
+    ``-DD`` suffix, so the first seven characters never change and the year-prefix test
+    can also be put on the raw column, where it is pushed into the scan
+    (``StringStartsWith`` lets parquet skip row groups).
+    """
     if "Completion_Cleaned" not in trials.columns:
-        trials = trials.withColumn("Completion_Cleaned", to_month("Completion"))
+        trials = (trials.filter(F.col("Completion").startswith(str(year)))
+                  .withColumn("Completion_Cleaned", to_month("Completion")))
     return completed_by_month(trials, year)
 
 

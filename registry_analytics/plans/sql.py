@@ -53,7 +53,8 @@ FROM (
          translate(get(split(Completion_Cleaned, '-', -1), 1), ',"', '') AS Month
   FROM (SELECT Status, regexp_replace(Completion, '\\\\b(\\\\d{{4}}-\\\\d{{2}})-\\\\d{{2}}\\\\b', '$1')
                AS Completion_Cleaned
-        FROM {trials})
+        FROM {trials}
+        WHERE startswith(Completion, {year}))
   WHERE Status = 'COMPLETED' AND startswith(Completion_Cleaned, {year})
 )
 WHERE Year = {year} AND Month IS NOT NULL
