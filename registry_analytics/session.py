@@ -41,6 +41,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None for a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect sessions have no driver-side context
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory, setting one only when the session has none.
 
@@ -48,16 +56,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only when nothing is configured (a bare local test session) a fresh scratch folder
     is created.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    sc = _context(spark)
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if sc is None:
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        return configured
     if not configured:
         configured = tempfile.mkdtemp(prefix="ra-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def session_key(spark: SparkSession) -> str:
+    """Identifier of the running application (classic or Connect session)."""
+    sc = _context(spark)
+    if sc is not None:
+        return sc.applicationId
+    return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
+def default_parallelism(spark: SparkSession, fallback: int = 10) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    value = spark.conf.get("spark.default.parallelism", None)
+    return int(value) if value else fallback
+
+
 def testdata_dir(sf: str = "0.01") -> str:
     return os.environ.get("RA_TESTDATA", "/root/testdata") + f"/sf{sf}"

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import (ACTION_COL, ITEM_COL, NARROW_COLUMNS, RATING_COL, USER_COL,
                        WIDE_COLUMNS)
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, session_key
 from .lines import parse_wide, read_lines, save_release
 
 EXCLUDED_REGION = 1
@@ -168,7 +168,7 @@ def materialize(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     ``companies`` (header CSV, every value quoted) and ``wide_clean`` (the parsed wide
     release saved as parquet: ingest once, query many times).
     """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (session_key(spark), os.path.abspath(sf_dir))
     if key in _WRITTEN:
         return _WRITTEN[key]
     root = ensure_checkpoint_dir(spark).rstrip("/")
