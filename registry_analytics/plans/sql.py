@@ -4,7 +4,9 @@ DataFrames are passed to ``spark.sql`` as named arguments (``{trials}``), so no
 session-wide temp view name is taken and concurrent callers cannot collide. The text
 avoids the constructs that fail under ANSI mode (``[i]`` on a short array, ``CAST`` of
 bad text) and the null-aware ``NOT IN`` (which can only run as a broadcast or a nested
-loop join): exclusion is written as ``NOT EXISTS`` over a null-free list.
+loop join): exclusion is an outer join of the per-sponsor counts with a null-free list,
+keeping the unmatched rows. (A ``NOT EXISTS`` anti join would be pushed below the
+aggregate onto raw rows; the outer join keeps it on one row per sponsor.)
 """
 
 from __future__ import annotations
@@ -39,9 +41,9 @@ WITH counts AS (
     FROM {companies})
   WHERE name IS NOT NULL AND name <> ''
 )
-SELECT Sponsor, count
-FROM counts c
-WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.name = c.Sponsor)
+SELECT c.Sponsor, c.count
+FROM counts c LEFT JOIN listed l ON l.name = c.Sponsor
+WHERE l.name IS NULL
 ORDER BY count DESC, Sponsor
 LIMIT {k}
 """

@@ -53,3 +53,19 @@ def test_month_filters_reach_the_scan(spark, name):
     assert "EqualTo(Status,COMPLETED)" in pushed
     assert "StringStartsWith(Completion,1998)" in pushed
     assert re.findall(r"ReadSchema: struct<([^>]*)>", plan) == ["Status:string,Completion:string"]
+
+
+@pytest.mark.parametrize("name", ["top_unlisted_sponsors", "sql_top_unlisted_sponsors"])
+def test_exclusion_stays_after_the_aggregate_without_broadcast(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = entry.queries()[name](spark, SF_SMALL)
+        plan = plan_text(df)
+        assert "LeftOuter" in plan and "LeftAnti" not in plan
+        # partial aggregation happens before the first shuffle of trial rows
+        assert "partial_count" in plan
+        assert len(df.collect()) == 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
