@@ -66,8 +66,9 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     ensure_checkpoint_dir(spark)
     r = rc.valid_ratings(ratings(spark, sf_dir))
-    r = rc.with_item_index(r)
+    # min/max are taken over the ratings themselves (the index join keeps every row)
     r = rc.normalize_ratings(r).filter(F.col(rc.NORMALIZED_COL).isNotNull())
+    r = rc.with_item_index(r)
     return r.select("interaction_id", USER_COL, rc.INDEX_COL, rc.NORMALIZED_COL).checkpoint()
 
 

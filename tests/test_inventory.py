@@ -1,6 +1,5 @@
 """Remaining SURVEY §2 items: views, filters, date columns, random split, grids."""
 
-
 from registry_analytics.functions import is_int_text, with_date_columns
 from registry_analytics.operators import frequency as fq
 from registry_analytics.operators import recommend as rc
