@@ -1,0 +1,42 @@
+from registry_analytics import cli
+from registry_analytics.plans import catalog as cat
+from registry_analytics.plans.report import release_questions, save_results
+from registry_analytics.schemas import WIDE_COLUMNS
+
+from .conftest import SF_SMALL, rows
+
+
+def test_release_questions_match_registered_queries(spark, tmp_path):
+    trials = cat.trials(spark, SF_SMALL)
+    res = release_questions(trials, cat.companies(spark, SF_SMALL), 1998)
+    assert rows(res["top_unlisted_sponsors"]) == rows(
+        cat.QUERIES["top_unlisted_sponsors"](spark, SF_SMALL))
+    paths = save_results({"study_types": res["study_types"]}, str(tmp_path / "out"))
+    assert spark.read.parquet(paths[0]).count() == res["study_types"].count()
+
+
+def test_cli_end_to_end(spark, tmp_path):
+    src = tmp_path / "release"
+    src.mkdir()
+    header = "\t".join(WIDE_COLUMNS)
+    body = ["\t".join([f"NCT{i}", "t", "", "COMPLETED", "a|b", "", f"S{i % 3}", "", str(i),
+                       "F", f"T{i % 2}", "D", "2020-01-02", f"2021-0{1 + i % 9}-01"])
+            for i in range(30)]
+    (src / "part.txt").write_text("\n".join([header] + body) + "\n")
+    comp = tmp_path / "companies.csv"
+    comp.write_text("Parent_Company\nS1\n")
+    out = tmp_path / "answers"
+    cli.main([str(src), "--out", str(out), "--companies", str(comp), "--year", "2021",
+              "--save-clean", str(tmp_path / "clean")])
+    got = rows(spark.read.parquet(str(out / "top_unlisted_sponsors")).orderBy("Sponsor"))
+    assert got == [("S0", 10), ("S2", 10)]
+    months = spark.read.parquet(str(out / "completed_by_month"))
+    assert sum(r[1] for r in rows(months)) == 30
+
+
+def test_narrow_release_gets_the_questions_its_columns_allow(spark):
+    res = release_questions(cat.narrow(spark, SF_SMALL), year=1998, conditions_sep=",")
+    assert "enrollment_histogram" not in res and "top_collaborators" not in res
+    assert {"study_types", "status_counts", "top_conditions", "completed_by_month"} <= set(res)
+    assert rows(res["status_counts"]) == rows(cat.QUERIES["narrow_status_counts"](spark,
+                                                                                  SF_SMALL))
