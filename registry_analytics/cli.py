@@ -1,11 +1,13 @@
 """Command line: clean a release and answer every question.
 
-    spark-submit -m registry_analytics.cli RELEASE_PATH --companies CSV --year 2023 \
+    python -m registry_analytics.cli RELEASE_PATH --companies CSV --year 2023 \
         --out OUT_DIR [--layout narrow] [--save-clean PATH] [--format csv]
 
+(``scripts/registry_report.py`` is the same entry point for ``spark-submit``.)
+
 Questions whose columns the layout lacks are skipped.
 
-The session comes from ``spark-submit`` (cluster settings, ``spark.checkpoint.dir``).
+The session comes from the launcher (cluster settings, ``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
