@@ -80,7 +80,7 @@ def als_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def als_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = rc.split_by_key(_prepared(spark, sf_dir), "interaction_id")
-    res = rc.tune(train, TUNE_GRID, train_ratio=0.8, parallelism=2)
+    res = rc.tune(train, TUNE_GRID, train_ratio=0.8, parallelism=4)
     scored = rc.rmse_frame(res.model.bestModel.transform(test))
     p = res.best_params
     return scored.select(
