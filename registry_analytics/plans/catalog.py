@@ -60,9 +60,9 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ALS passes over its input several times while building its rating blocks, and the
     test split is scored afterwards; the reliable checkpoint (in the shared checkpoint
-    directory) computes the joins, the index and the scaling once, cuts the lineage
-    (a lost executor re-reads files instead of re-running the joins) and leaves no
-    cached data behind.
+    directory) computes the joins, the index and the scaling once, so no pass repeats
+    the source join or a shuffle join with a large index. It also cuts the lineage (a
+    lost executor re-reads files) and leaves no cached data behind.
     """
     ensure_checkpoint_dir(spark)
     r = rc.valid_ratings(ratings(spark, sf_dir))
