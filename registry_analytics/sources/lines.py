@@ -62,8 +62,9 @@ def parse_lines(lines: DataFrame, columns: Sequence[str] | StructType, sep: str
     * clean each token by ``clean`` (see ``CLEAN_RULES``; ``True``/``False`` mean
       ``full``/``none``);
     * drop every line that equals the header. ``header="columns"`` takes the header names
-      from ``columns``; pass a list when a release names its header differently, or
-      ``None`` to keep all lines.
+      from ``columns``; ``"first"`` takes them from the first line of the input (one line
+      is read, a bounded single row); pass a list when a release names its header
+      differently, or ``None`` to keep all lines.
 
     ``keep`` lists extra input columns (e.g. ``source_file``) carried through unchanged.
     """
@@ -97,7 +98,16 @@ def parse_lines(lines: DataFrame, columns: Sequence[str] | StructType, sep: str
 
     if header is None:
         return parsed.drop("_tok")
-    header_names = names if header == "columns" else list(header)
+    if header == "columns":
+        header_names = names
+    elif header == "first":
+        first = parse_lines(lines.select(value_col).limit(1), names, sep, clean, None,
+                            value_col).first()
+        if first is None:
+            return parsed.drop("_tok")
+        header_names = ["" if v is None else v for v in first]
+    else:
+        header_names = list(header)
     if len(header_names) != n:
         raise ValueError("header must name every column")
     return parsed.filter(~_is_header(header_names, clean)).drop("_tok")

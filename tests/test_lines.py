@@ -64,3 +64,11 @@ def test_multi_file_release_with_source(spark, tmp_path):
     assert [r.Id for r in out] == ["NCT0", "NCT1"]
     assert out[0].source_file.endswith("part0.txt")
     assert read_lines(spark, str(tmp_path)).count() == 4
+
+
+def test_header_from_first_line(spark):
+    df = lines_df(spark, ['"ID"\tTITLE\tWHEN', "1\t2\t3", "ID\tTITLE\tWHEN", "4\t5"])
+    out = rows(parse_lines(df.coalesce(1), COLS, "\t", header="first"))
+    assert out == [("1", "2", "3"), ("4", "5", "")]
+    empty = lines_df(spark, []).limit(0)
+    assert parse_lines(empty, COLS, "\t", header="first").count() == 0
