@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it holds at most this many rows (a list of names of
-# ~50 bytes each stays under ~10 MB); beyond it the join is left to the planner
-# (shuffle join, with AQE free to turn it into a broadcast from runtime sizes).
+# A side is broadcast only when it has at most this many rows and this many bytes of
+# payload; beyond either bound the join is left to the planner (shuffle join, with AQE
+# free to turn it into a broadcast from runtime sizes).
 DEFAULT_BROADCAST_MAX_ROWS = 200_000
+DEFAULT_BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
+def has_at_most(df: DataFrame, max_rows: int,
+                max_bytes: int | None = DEFAULT_BROADCAST_MAX_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and (if given) at most
+    ``max_bytes`` bytes of values (UTF-8 length of every column as text).
 
-    Reads at most ``max_rows + 1`` rows (a limit, then a count): a bounded job whose
-    only result on the driver is one number.
+    One bounded job: it reads at most ``max_rows + 1`` rows, and the only result on
+    the driver is two numbers.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    sample = df.limit(max_rows + 1)
+    payload = sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+                  for c in df.columns)
+    row = sample.agg(F.count(F.lit(1)).alias("n"), F.sum(payload).alias("b")).first()
+    if row["n"] > max_rows:
+        return False
+    return max_bytes is None or (row["b"] or 0) <= max_bytes
 
 
 def maybe_broadcast(df: DataFrame, mode: str | bool = "auto",
-                    max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
+                    max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+                    max_bytes: int | None = DEFAULT_BROADCAST_MAX_BYTES) -> DataFrame:
     """``mode``: "auto" (hint only after the size check), True/"always", False/"never"."""
     if mode is True or mode == "always":
         return F.broadcast(df)
@@ -29,4 +39,4 @@ def maybe_broadcast(df: DataFrame, mode: str | bool = "auto",
         return df
     if mode != "auto":
         raise ValueError("mode must be 'auto', 'always' or 'never'")
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
+    return F.broadcast(df) if has_at_most(df, max_rows, max_bytes) else df

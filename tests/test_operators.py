@@ -89,6 +89,9 @@ def test_exclusion_plan_broadcast_only_when_small(spark):
 def test_size_check(spark):
     assert has_at_most(spark.range(5), 5)
     assert not has_at_most(spark.range(6), 5)
+    names = spark.createDataFrame([("x" * 100,)] * 10, "n string")
+    assert has_at_most(names, 10, max_bytes=1000)
+    assert not has_at_most(names, 10, max_bytes=999)
     assert maybe_broadcast(spark.range(3), "never").count() == 3
     assert listed_names(companies(spark, ["a", "a", None, ""]), "Parent_Company").count() == 1
 
