@@ -52,7 +52,8 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.interactions(spark, sf_dir)
+    """The interactions, ingested once from their CSV into parquet."""
+    return spark.read.parquet(fx.materialize(spark, sf_dir)["interactions"])
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..schemas import (ACTION_COL, ITEM_COL, NARROW_COLUMNS, RATING_COL, USER_COL,
                        WIDE_COLUMNS)
 from ..session import ensure_checkpoint_dir, session_key
+from .csv import read_interactions
 from .lines import parse_wide, read_lines, save_release
 
 EXCLUDED_REGION = 1
@@ -165,8 +166,10 @@ def materialize(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     queries read them back with the same readers a user calls. The files go under the
     session's checkpoint directory (the shared folder named by ``spark.checkpoint.dir``
     on a cluster). Returns the paths: ``wide``, ``narrow`` (text folders),
-    ``companies`` (header CSV, every value quoted) and ``wide_clean`` (the parsed wide
-    release saved as parquet: ingest once, query many times).
+    ``companies`` (header CSV, every value quoted), ``wide_clean`` (the parsed wide
+    release saved as parquet: ingest once, query many times), ``interactions_csv`` and
+    ``interactions`` (the same ratings read back through the typed CSV reader and saved
+    as parquet).
     """
     key = (session_key(spark), os.path.abspath(sf_dir))
     if key in _WRITTEN:
@@ -174,12 +177,19 @@ def materialize(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     root = ensure_checkpoint_dir(spark).rstrip("/")
     base = f"{root}/registry-fixtures/{uuid.uuid4().hex}"
     paths = {"wide": base + "/wide", "narrow": base + "/narrow",
-             "companies": base + "/companies", "wide_clean": base + "/wide_clean"}
+             "companies": base + "/companies", "wide_clean": base + "/wide_clean",
+             "interactions_csv": base + "/interactions_csv",
+             "interactions": base + "/interactions"}
     wide_lines(spark, sf_dir).write.mode("overwrite").text(paths["wide"])
     # the cleaned table, parsed from the written text like a real release
     save_release(parse_wide(read_lines(spark, paths["wide"])), paths["wide_clean"])
     narrow_lines(spark, sf_dir).write.mode("overwrite").text(paths["narrow"])
     (company_list(spark, sf_dir).write.mode("overwrite").option("header", True)
      .option("quoteAll", True).csv(paths["companies"]))
+    # interactions arrive as a header CSV; ingest once through the typed reader
+    (interactions(spark, sf_dir).write.mode("overwrite").option("header", True)
+     .csv(paths["interactions_csv"]))
+    (read_interactions(spark, paths["interactions_csv"], key_col="interaction_id")
+     .write.mode("overwrite").parquet(paths["interactions"]))
     _WRITTEN[key] = paths
     return paths
