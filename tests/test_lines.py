@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from registry_analytics.schemas import WIDE_COLUMNS
 from registry_analytics.sources import load_release, parse_lines, read_lines
@@ -72,3 +74,29 @@ def test_header_from_first_line(spark):
     assert out == [("1", "2", "3"), ("4", "5", "")]
     empty = lines_df(spark, []).limit(0)
     assert parse_lines(empty, COLS, "\t", header="first").count() == 0
+
+
+def py_parse(lines, n, header):
+    """The line rule in plain Python: clean every field, pad to n, drop rows equal to
+    the header and rows that do not have exactly n fields."""
+    out = []
+    for line in lines:
+        parts = [p.replace(",", "").strip().strip('"') for p in line.split("\t")]
+        parts += [""] * (n - len(parts))
+        if parts != header and len(parts) == n:
+            out.append(tuple(parts))
+    return out
+
+
+LINE = st.text(alphabet=["a", "b", '"', ",", " ", "\t", "\xa0"], max_size=12)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(LINE, min_size=1, max_size=150))
+def test_parser_matches_python_rule(spark, lines):
+    header = ["a", "b", "ab"]
+    data = ['"a\tb\tab"'] + lines
+    df = spark.createDataFrame([(v,) for v in data], "value string").coalesce(1)
+    assert rows(parse_lines(df, header, "\t")) == py_parse(data, 3, header)
+    first = py_parse(data[:1], 3, None)[0]  # the first line, cleaned, is the header
+    assert rows(parse_lines(df, header, "\t", header="first")) == py_parse(data, 3, list(first))
