@@ -3,9 +3,10 @@
 Plan: aggregate the big side first (partial + final hash aggregate on the key), then
 remove the listed keys from the *aggregated* rows. The list side is normalised,
 de-duplicated and stripped of NULL/blank names (a NULL in a NOT IN list would empty
-the result). The list is broadcast only when it passes a row-count check; otherwise it
-is shuffled against the aggregate, which is already hash-partitioned on the key, so
-only the list moves.
+the result). The list is broadcast only when it passes a size check (rows and bytes);
+otherwise it is a shuffle join of the list with the per-key counts - one row per key,
+never the raw rows (without normalisation the counts are already partitioned on the key
+and only the list moves).
 """
 
 from __future__ import annotations
