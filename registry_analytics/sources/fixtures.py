@@ -18,6 +18,7 @@ The derivation rules are spelled out once in ``FIXTURES.md``; the oracle SQL in
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -157,6 +158,7 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WRITTEN: dict[tuple[str, str], dict[str, str]] = {}
+_LOCK = threading.Lock()
 
 
 def materialize(spark: SparkSession, sf_dir: str) -> dict[str, str]:
@@ -172,8 +174,13 @@ def materialize(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     as parquet).
     """
     key = (session_key(spark), os.path.abspath(sf_dir))
-    if key in _WRITTEN:
+    with _LOCK:  # concurrent callers wait for one writer instead of writing twice
+        if key not in _WRITTEN:
+            _WRITTEN[key] = _write_all(spark, sf_dir)
         return _WRITTEN[key]
+
+
+def _write_all(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     root = ensure_checkpoint_dir(spark).rstrip("/")
     base = f"{root}/registry-fixtures/{uuid.uuid4().hex}"
     paths = {"wide": base + "/wide", "narrow": base + "/narrow",
@@ -191,5 +198,4 @@ def materialize(spark: SparkSession, sf_dir: str) -> dict[str, str]:
      .csv(paths["interactions_csv"]))
     (read_interactions(spark, paths["interactions_csv"], key_col="interaction_id")
      .write.mode("overwrite").parquet(paths["interactions"]))
-    _WRITTEN[key] = paths
     return paths
