@@ -24,6 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import maybe_broadcast
 from ..schemas import (ACTION_COL, ITEM_COL, NARROW_COLUMNS, RATING_COL, USER_COL,
                        WIDE_COLUMNS)
 from ..session import ensure_checkpoint_dir, session_key
@@ -40,15 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _orders_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders ⋈ customer ⋈ nation, only the columns the fixtures use.
 
-    nation is the fixed 25-row dimension of the schema, so it is broadcast; the
-    orders/customer join is left to the planner (sort-merge at scale, AQE skew split).
+    nation is the fixed 25-row dimension of the schema; it is broadcast after the same
+    size check as every other broadcast. The orders/customer join is left to the planner
+    (sort-merge at scale, AQE skew split).
     """
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
         "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    cn = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    cn = c.join(maybe_broadcast(n), c.c_nationkey == n.n_nationkey)
     return o.join(cn, o.o_custkey == cn.c_custkey)
 
 
