@@ -52,9 +52,10 @@ def _context(spark: SparkSession):
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory, setting one only when the session has none.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only when nothing is configured (a bare local test session) a fresh scratch folder
-    is created.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is; if it
+    is missing there, this fails rather than fall back to a machine-local folder. Only a
+    local-mode session without the setting (a bare test session) gets a fresh scratch
+    folder.
     """
     sc = _context(spark)
     current = sc.getCheckpointDir() if sc is not None else None
@@ -66,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         return configured
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="ra-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
