@@ -12,16 +12,20 @@ from .frequency import value_counts
 def completed_by_month(df: DataFrame, year: str | int, status: str = "COMPLETED",
                        date_col: str = "Completion_Cleaned", status_col: str = "Status",
                        keep_null_month: bool = False, count_col: str = "count",
-                       month_col: str = "Month") -> DataFrame:
-    """Rows with ``status`` whose ``date_col`` falls in ``year``, counted per month text.
+                       month_col: str = "Month", month_as_int: bool = False) -> DataFrame:
+    """Rows with ``status`` whose ``date_col`` falls in ``year``, counted per month.
 
-    Month is the second ``-``-separated part (NULL when the date has no month; those
-    rows are dropped unless ``keep_null_month``). The status and prefix predicates are
-    plain comparisons, so they are pushed into the scan of a columnar source.
+    Month is the second ``-``-separated part as text (NULL when the date has no month;
+    those rows are dropped unless ``keep_null_month``); ``month_as_int`` makes it an INT
+    so ``5`` sorts before ``10``. The status and prefix predicates are plain
+    comparisons, so they are pushed into the scan of a columnar source.
     """
     year = str(year)
+    month = month_text(date_col)
+    if month_as_int:
+        month = month.try_cast("int")
     rows = (df.filter((F.col(status_col) == status) & F.col(date_col).startswith(year))
-            .select(year_text(date_col).alias("_year"), month_text(date_col).alias(month_col))
+            .select(year_text(date_col).alias("_year"), month.alias(month_col))
             .filter(F.col("_year") == year))
     if not keep_null_month:
         rows = rows.filter(F.col(month_col).isNotNull())

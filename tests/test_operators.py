@@ -130,3 +130,11 @@ def test_periods(spark):
     assert rows(completed_by_month(df, 2023, keep_null_month=True))[0] == (None, 1)
     years = spark.createDataFrame([("2021-01",), ("2021-02",), ("",)], "Start_Cleaned string")
     assert rows(counts_by_year(years)) == [("", 1), ("2021", 2)]
+
+
+def test_month_as_int_orders_numerically(spark):
+    df = spark.createDataFrame([("COMPLETED", "2023-10"), ("COMPLETED", "2023-5"),
+                                ("COMPLETED", "2023-5")], "Status string, Completion_Cleaned string")
+    assert rows(completed_by_month(df, 2023)) == [("10", 1), ("5", 2)]
+    out = completed_by_month(df, 2023, month_as_int=True)
+    assert rows(out) == [(5, 2), (10, 1)] and dict(out.dtypes)["Month"] == "int"
