@@ -23,10 +23,15 @@ from ..sources.lines import parse_lines
 
 
 def stream_lines(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
-                 with_source: bool = False) -> DataFrame:
+                 with_source: bool = False,
+                 max_bytes_per_trigger: int | None = None) -> DataFrame:
+    """Text lines of the files arriving under ``path``. Bound each micro-batch by file
+    count and/or bytes so a backlog of large extracts is taken in steps."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", int(max_bytes_per_trigger))
     df = reader.load(path)
     if with_source:
         df = df.select("value", F.col("_metadata.file_path").alias("source_file"))
@@ -34,11 +39,12 @@ def stream_lines(spark: SparkSession, path: str, max_files_per_trigger: int | No
 
 
 def stream_release(spark: SparkSession, path: str, columns=WIDE_COLUMNS, sep: str = "\t",
-                   clean="full", header="columns",
-                   max_files_per_trigger: int | None = None) -> DataFrame:
+                   clean="full", header="columns", max_files_per_trigger: int | None = None,
+                   max_bytes_per_trigger: int | None = None) -> DataFrame:
     """Streaming DataFrame of cleaned release rows."""
-    return parse_lines(stream_lines(spark, path, max_files_per_trigger), columns, sep, clean,
-                       header)
+    lines = stream_lines(spark, path, max_files_per_trigger,
+                         max_bytes_per_trigger=max_bytes_per_trigger)
+    return parse_lines(lines, columns, sep, clean, header)
 
 
 def running_counts(rows: DataFrame, key: str, count_col: str = "count") -> DataFrame:
@@ -68,11 +74,13 @@ def run_available(stream: DataFrame, out_path: str, checkpoint: str,
 
 def counts_table(spark: SparkSession, path: str, key: str, columns=WIDE_COLUMNS,
                  sep: str = "\t", clean="full", max_files_per_trigger: int | None = None,
-                 count_col: str = "count") -> DataFrame:
+                 count_col: str = "count",
+                 max_bytes_per_trigger: int | None = None) -> DataFrame:
     """Stream the extracts under ``path`` to the end, return the frequency table of
     ``key`` as a batch DataFrame read back from the stream's output."""
     rows = stream_release(spark, path, columns, sep, clean,
-                          max_files_per_trigger=max_files_per_trigger)
+                          max_files_per_trigger=max_files_per_trigger,
+                          max_bytes_per_trigger=max_bytes_per_trigger)
     counts = running_counts(rows, key, count_col)
     out = scratch_location(spark, "out")
     run_available(counts, out, scratch_location(spark, "state"))

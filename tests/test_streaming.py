@@ -55,3 +55,12 @@ def test_restart_from_checkpoint_adds_only_new_files(spark, tmp_path):
     (src / "release-late.txt").write_text("\n".join([header] + new) + "\n")
     second = run()
     assert second == {**first, "T9": 5}
+
+
+def test_bytes_per_trigger_gives_same_counts(spark, tmp_path):
+    src = tmp_path / "in4"
+    src.mkdir()
+    write_release(src, n_files=3)
+    small = counts_table(spark, str(src), "Type", max_bytes_per_trigger=1500)
+    whole = counts_table(spark, str(src), "Type")
+    assert sorted(rows(small)) == sorted(rows(whole))
