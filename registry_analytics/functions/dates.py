@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 
 from .text import _col
 
-# A whole-word YYYY-MM-DD date; the day part is dropped. Other text passes through.
+# Fixed values (they must equal the registry conventions):
+#   day-dropping pattern: a whole-word YYYY-MM-DD date keeps its YYYY-MM part
+#   month text parsed as year-month (month with or without a leading zero): yyyy-M
+#   month label: abbreviated English month, space, four-digit year ("May 2023"): MMM yyyy
+#   date parts are separated by "-"
 _DAY_PATTERN = r"\b(\d{4}-\d{2})-\d{2}\b"
+MONTH_PARSE_FORMAT = "yyyy-M"
+MONTH_LABEL_FORMAT = "MMM yyyy"
+DATE_SEP = "-"
 
 
 def to_month(c) -> Column:
@@ -24,11 +31,11 @@ def format_month(c) -> Column:
     ``coalesce`` falls back to the input text exactly like a failed parse would.
     """
     c = _col(c)
-    parsed = F.try_to_timestamp(c, F.lit("yyyy-M"))
-    return F.coalesce(F.date_format(parsed, "MMM yyyy"), c)
+    parsed = F.try_to_timestamp(c, F.lit(MONTH_PARSE_FORMAT))
+    return F.coalesce(F.date_format(parsed, MONTH_LABEL_FORMAT), c)
 
 
-def part_of(c, k: int, sep: str = "-") -> Column:
+def part_of(c, k: int, sep: str = DATE_SEP) -> Column:
     """k-th (0-based) ``sep``-separated part, NULL when absent (never an index error)."""
     return F.get(F.split(_col(c), r"\Q" + sep + r"\E", -1), k)
 

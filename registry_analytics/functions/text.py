@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values (the registry cleaning rule): every "," is deleted, then white space is
+# stripped at both ends, then every leading and trailing '"'.
+DELETED_CHARS = ","
+QUOTE = '"'
+
 # Characters a Python ``str.strip()`` removes (every code point whose ``isspace()`` is
 # true; none lies above U+3000). Derived by rule, so it stays in step with Python.
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
@@ -16,7 +21,7 @@ def _col(c) -> Column:
 
 def delete_commas(c) -> Column:
     """Remove every ``,`` (translate is a char map, cheaper than a regex)."""
-    return F.translate(_col(c), ",", "")
+    return F.translate(_col(c), DELETED_CHARS, "")
 
 
 def strip_space(c) -> Column:
@@ -26,7 +31,7 @@ def strip_space(c) -> Column:
 
 def strip_quotes(c) -> Column:
     """Strip every leading and trailing double quote."""
-    return F.btrim(_col(c), F.lit('"'))
+    return F.btrim(_col(c), F.lit(QUOTE))
 
 
 def clean_token(c) -> Column:
