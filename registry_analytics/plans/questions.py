@@ -55,7 +55,8 @@ def unlisted_sponsor_rows(trials: DataFrame, companies: DataFrame, k: int = 10,
     return fq.value_counts(rows, "Sponsor", "desc", k)
 
 
-def completed_months(trials: DataFrame, year: str | int) -> DataFrame:
+def completed_months(trials: DataFrame, year: str | int,
+                     month_as_int: bool = False) -> DataFrame:
     """Completed studies per month of ``year``.
 
     ``Completion_Cleaned`` is derived when absent. Month truncation only drops a
@@ -66,7 +67,7 @@ def completed_months(trials: DataFrame, year: str | int) -> DataFrame:
     if "Completion_Cleaned" not in trials.columns:
         trials = (trials.filter(F.col("Completion").startswith(str(year)))
                   .withColumn("Completion_Cleaned", to_month("Completion")))
-    return completed_by_month(trials, year)
+    return completed_by_month(trials, year, month_as_int=month_as_int)
 
 
 def top_collaborators(trials: DataFrame, k: int = 10) -> DataFrame:
