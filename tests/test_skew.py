@@ -78,3 +78,13 @@ def test_normalized_ratings_in_unit_interval(spark):
     df = spark.range(5000).select((F.col("id") % 97).cast("double").alias("r"))
     out = rc.normalize_ratings(df, "r", "n").agg(F.min("n"), F.max("n")).first()
     assert (out[0], out[1]) == (0.0, 1.0)
+
+
+def test_salted_index_join_equals_broadcast_join(spark):
+    df = hot_frame(spark, "g").withColumn("r", F.monotonically_increasing_id())
+    salted = rc.with_item_index(df, "g", "idx", broadcast="never", salt_buckets=8)
+    plain = rc.with_item_index(df, "g", "idx", broadcast="always")
+    assert salted.columns == plain.columns
+    assert sorted(rows(salted)) == sorted(rows(plain))
+    plan = salted._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and "Generate explode" in plan
