@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship_code
 
@@ -209,6 +210,10 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
 
 
+_TYPES = {"array<int>": T.ArrayType(T.IntegerType()), "binary": T.BinaryType(),
+          "string": T.StringType()}
+
+
 def _per_batch(df: DataFrame, added: list[tuple[str, str]], work: Callable) -> DataFrame:
     """``df`` with the columns ``added`` (name, type), which ``work`` computes for slices of
     a few hundred rows; columns with these names are replaced."""
@@ -217,7 +222,7 @@ def _per_batch(df: DataFrame, added: list[tuple[str, str]], work: Callable) -> D
     kept = [c for c in df.columns if c not in names]
     schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema
     for name, kind in added:
-        schema = schema.add(name, kind)
+        schema = schema.add(name, _TYPES[kind])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
