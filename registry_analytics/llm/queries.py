@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding
+from . import (bpe, license_scan, line_dedup, merkle, mixing, ngram_join, pii, quality,
+               sharding, toxicity)
 from .common import documents, written
 
 N_SHARDS = 8
@@ -35,6 +36,41 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     .cast("int")).alias("shards"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    # the tree of the corpus: source / language / groups of 64 ids / document
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 64).cast("string"),
+                       F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan(docs, path)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(documents(spark, sf_dir), labels)
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.pseudonyms(docs).select(
+        "doc_id", "text", F.size("found").cast("long").alias("n_found"),
+        F.array_join(F.transform("found", lambda x: x["kind"]), ",").alias("kinds"))
+
+
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_next(documents(spark, sf_dir))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return ngram_join.jaccard_components(docs, 3, 90, 100).select(
+        "doc_id", "n_shingles", "component_id", "class_id")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,10 +95,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_sharding": op1_sharding,
-    "op2_mixing": op2_mixing,
-    "op5_quality": op5_quality,
-    "op10_byte_bpe": op10_byte_bpe,
-}
+    q.__name__: q for q in (
+        op1_sharding, op2_mixing, op3_license_scan, op4_toxicity, op5_quality, op6_pseudonyms,
+        op7_merkle, op8_ngram_join, op9_line_dedup, op10_byte_bpe)}
 
+# Hash-driven draws, tokenizers, trained models and graph closures are no SQL; tests/llm
+# compares these queries with brute-force versions.
 ORACLE: dict[str, str] = {}
