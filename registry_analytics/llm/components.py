@@ -24,17 +24,18 @@ def components(links: DataFrame) -> DataFrame:
         "node", F.col("node").alias("component"))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min("b").alias("least")).select(
-            F.col("a").alias("node"), F.least("a", "least").alias("up"))
-        for _ in range(2):
-            nxt = up.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-            up = written(up.join(nxt, "up").select("node", F.col("upper").alias("up")), "cc-up")
-        found = written(found.join(up.withColumnRenamed("node", "component"), "component", "left")
-                        .select("node", F.coalesce("up", "component").alias("component")),
+        up = written(both.groupBy("a").agg(F.min("b").alias("least")).select(
+            F.col("a").alias("node"), F.least("a", "least").alias("up")), "cc-up")
+        one = up.select(F.col("node").alias("up"), F.col("up").alias("up1"))
+        two = up.select(F.col("node").alias("up1"), F.col("up").alias("root"))
+        roots = up.join(one, "up").join(two, "up1").select("node", "root")
+        found = written(found.join(roots.withColumnRenamed("node", "component"), "component",
+                                   "left")
+                        .select("node", F.coalesce("root", "component").alias("component")),
                         "cc-found")
-        a = up.select(F.col("node").alias("a"), F.col("up").alias("ua"))
-        b = up.select(F.col("node").alias("b"), F.col("up").alias("ub"))
-        edges = written(edges.join(a, "a").join(b, "b").filter("ua <> ub").select(
-            F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(),
+        a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        edges = written(edges.join(a, "a").join(b, "b").filter("ra <> rb").select(
+            F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(),
             "cc-edges")
     return found

@@ -10,6 +10,8 @@ nearest ancestor directory that holds a licence file, by joins on directory path
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,15 +87,14 @@ def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "t
     seen = df.select(ident, rid, text.alias("text"), F.array_intersect(words(text), vocab)
                      .alias("known"))
     docs_with = seen.select(F.explode("known").alias("word")).groupBy("word").count()
-    total = df.agg(F.count(F.lit(1)).alias("total"))
+    total = df.count()
     # one row per template word
     idf = written(
-        terms.select("word").distinct().join(docs_with, "word", "left")
-        .join(F.broadcast(total)).select(
-            "word", "total", F.coalesce("count", F.lit(0)).alias("df"),
-            (F.log((F.col("total") + 1) / (F.coalesce("count", F.lit(0)) + 1)) + 1).alias("idf")),
+        terms.select("word").distinct().join(docs_with, "word", "left").select(
+            "word", F.coalesce("count", F.lit(0)).alias("df"),
+            (F.log((total + 1) / (F.coalesce("count", F.lit(0)) + 1)) + 1).alias("idf")),
         "licence-idf")
-    rare = [r.word for r in idf.filter(F.col("df") <= RARE_SHARE * F.col("total"))
+    rare = [r.word for r in idf.filter(F.col("df") <= RARE_SHARE * total)
             .select("word").collect()]  # at most the template words
     rare = F.array(*[F.lit(w) for w in rare]).cast("array<string>")
 
@@ -113,10 +114,9 @@ def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "t
     tf = units.select("rid", "id", "unit", F.explode("words").alias("word")) \
         .groupBy("rid", "id", "unit", "word").agg(F.count(F.lit(1)).alias("tf"))
     # words of no template weigh as if one document had them
-    most = idf.agg(F.max(F.log((F.col("total") + 1) / 2) + 1).alias("most"))
+    most = math.log((total + 1) / 2) + 1
     tf = (tf.join(F.broadcast(idf.select("word", "idf")), "word", "left")
-          .join(F.broadcast(most)).withColumn(
-              "w", F.col("tf") * F.coalesce("idf", "most")))
+          .withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(most))))
     lengths = tf.groupBy("rid", "unit").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = (tf.join(F.broadcast(weighted), "word")  # the templates' words

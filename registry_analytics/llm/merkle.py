@@ -2,8 +2,8 @@
 
 A text is cut into segments (its own content decides where: a segment ends at a word whose
 hash is divisible by ``CUT``), segments into paragraphs (lines) and paragraphs into sections
-(a section ends at a paragraph whose hash is divisible by ``CUT``, so an insertion moves no
-later boundary). Every inner hash covers the hashes of its children and the number of code
+(a section ends at a paragraph whose hash is divisible by ``SECTION``, so an insertion moves
+no later boundary). Every inner hash covers the hashes of its children and the number of code
 points below. Equal roots mean equal texts; where roots differ, only branches with
 different hashes are followed, down to the segments that were edited.
 
@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 
 from .common import ship_code, shuffle_partitions, written
 
-CUT = 4
+CUT = 2
+SECTION = 4
 # a word with the white space after it; white space at the start is a piece of its own
 _PIECE = re.compile(r"[^ \t\n\v\f\r]+[ \t\n\v\f\r]*|[ \t\n\v\f\r]+")
 _SLICE = 256
@@ -52,11 +53,11 @@ def _segments(line: str, start: int) -> list[Node]:
     out, at, held = [], start, ""
     for piece in _PIECE.findall(line):
         held += piece
-        if xxhash.xxh3_64_intdigest(piece.rstrip().encode()) % CUT == 0:
-            out.append(Node(_digest(b"g", [held.encode()], len(held)), at, len(held)))
+        if xxhash.xxh3_64_intdigest(piece.rstrip()) % CUT == 0:
+            out.append(Node(xxhash.xxh3_128_digest(held), at, len(held)))
             at, held = at + len(held), ""
     if held:
-        out.append(Node(_digest(b"g", [held.encode()], len(held)), at, len(held)))
+        out.append(Node(xxhash.xxh3_128_digest(held), at, len(held)))
     return out
 
 
@@ -72,7 +73,7 @@ def tree(text: str) -> Node:
         paragraph = _parent(b"p", _segments(line, at), at)
         at += len(line)
         paragraphs.append(paragraph)
-        if int.from_bytes(paragraph.hash[:4], "big") % CUT == 0:
+        if int.from_bytes(paragraph.hash[:4], "big") % SECTION == 0:
             sections.append(_parent(b"s", paragraphs, paragraphs[0].start))
             paragraphs = []
     if paragraphs:
@@ -94,24 +95,23 @@ def leaves(node: Node) -> Iterator[Node]:
 
 
 def edits(old: Node, new: Node) -> list[tuple[int, int]]:
-    """Spans (first code point, length) of ``new`` under branches that ``old`` lacks on the
-    same level, following only branches whose hashes differ."""
-    if old.hash == new.hash:
-        return []
-    if not new.children:
-        return [(new.start, new.n_chars)] if new.n_chars else []
-    known = Counter(c.hash for c in old.children)
-    spare = [c for c in old.children]
-    out = []
-    for child in new.children:
-        if known[child.hash] > 0:
-            known[child.hash] -= 1
-            continue
-        partner = next((c for c in spare if c.hash not in known or known[c.hash] > 0), None)
-        if partner is not None:
-            spare.remove(partner)
-        out += edits(partner or Node(b"", 0, 0), child)
-    return out
+    """Spans (first code point, length) of ``new`` that ``old`` lacks. Level by level,
+    branches with equal hashes are paired off and only the others are followed."""
+    olds, news = [old], [new]
+    while news:
+        left = Counter(n.hash for n in olds)
+        changed = []
+        for node in news:
+            if left[node.hash] > 0:
+                left[node.hash] -= 1
+            else:
+                changed.append(node)
+        if not any(n.children for n in changed):
+            return [(n.start, n.n_chars) for n in changed if n.n_chars]
+        gone = [n for n in olds if left[n.hash] > 0]
+        olds = [c for n in gone for c in n.children]
+        news = [c for n in changed for c in n.children]
+    return []
 
 
 def likeness(a: Node, b: Node) -> float:

@@ -46,6 +46,7 @@ _SLICE = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _CACHE_WORDS = 600_000
+_ADDED = ("n_shingles", "class_id", "component", "component_id")
 
 
 class _Hashes(dict):
@@ -215,7 +216,8 @@ def _centre(*rank: Column) -> Column:
 def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                        id_col: str = "doc_id", text_col: str = "text",
                        carry: list[str] | None = None) -> DataFrame:
-    """One row per row of ``df``: the columns ``carry`` (default: the id), ``n_shingles``,
+    """One row per row of ``df``: the columns ``carry`` (default: the id; those named like a
+    new one are replaced), ``n_shingles``,
     ``class_id`` (a hash naming its set; NULL for an empty one) and ``component_id``: the
     smallest id reachable over links den * |A & B| >= num * |A | B|.
 
@@ -227,16 +229,15 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     tell it apart. Whole texts are read; an empty frame gives an empty result. Two sets count
     as equal if 128 bits of hash agree.
     """
-    carry = [id_col] if carry is None else carry
+    carry = [c for c in carry or [id_col] if c not in _ADDED]
     ident = F.col(f"`{id_col}`")
-    rows = written(sketches(df.select(*dict.fromkeys([*carry, id_col, text_col])),
-                            n, num, den, text_col)
-                   .select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, id_col])],
-                           "n_shingles", "node", "check", "part_keys"), "join-rows")
+    docs = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"),
+                     ident.alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = written(sketches(docs, n, num, den).drop("text"), "join-rows")
     sets_seen = rows.filter(F.col("node").isNotNull())
     classes = written(
         sets_seen.groupBy("node", "check").agg(
-            F.count(F.lit(1)).alias("copies"), F.min(ident).alias("least_id"),
+            F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id"),
             F.first("part_keys").alias("part_keys")), "join-classes")
 
     by_key = Window.partitionBy("key")
@@ -249,7 +250,7 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                     .agg(F.max(F.col("m") > 2).alias("more")), "join-pairs")
     wanted = pairs.select(F.explode(F.array("centre", "node")).alias("node")).distinct()
     reps = classes.join(wanted, "node", "left_semi").select("node", "least_id")
-    texts = (df.select(ident.alias("id"), F.col(f"`{text_col}`").alias("text"))
+    texts = (docs.select("id", "text")
              .join(reps, F.col("id").eqNullSafe(F.col("least_id")))
              .select("node", "text", F.xxhash64("text").alias("h"))
              .dropDuplicates(["node", "h"]))
@@ -259,18 +260,21 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     links = checked.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     group = checked.join(pairs.filter("more"), ["centre", "node"], "left_semi").select(
         F.col("centre").alias("grp"), "node", "linked", "prefix")
-    comps = written(components(links), "join-components")
     copies = classes.select("node", "copies")
+    comps, turn = components(links), 0
     while True:
         at = Window.partitionBy("grp", "element")
+        # members linked to the centre are in one component, and so are those found to be
         part = F.coalesce("component", "node")
         nested = (group.select("grp", "node", "linked", F.explode("prefix").alias("element"))
                   .join(comps, "node", "left").join(copies, "node")
-                  .withColumn("part", part)
+                  .withColumn("part", F.when(F.col("linked"), F.lit(None)).otherwise(part))
                   .withColumn("m", F.count(F.lit(1)).over(at))
-                  .withColumn("parts", F.min("part").over(at) != F.max("part").over(at))
-                  .withColumn("top", _centre((~F.col("linked")).alias("free"), "copies").over(at))
-                  .filter("m > 1 and parts").filter(F.col("node") != F.col("top.node")))
+                  .withColumn("free", F.count("part").over(at))
+                  .withColumn("parts", F.min(part).over(at) != F.max(part).over(at))
+                  .withColumn("top", _centre((~F.col("linked")).alias("out"), "copies").over(at))
+                  .filter("m > 1 and free > 0 and parts")
+                  .filter(F.col("node") != F.col("top.node")))
         nested = written(nested.select(
             F.xxhash64("grp", "element").alias("grp"), F.col("top.node").alias("centre"),
             "node", "m"), "join-nested")
@@ -278,18 +282,21 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             break
         again = written(_verified(nested.select("centre", "node").distinct(), sets, num, den),
                         "join-checked")
-        links = written(links.unionByName(again.filter("linked").select(
-            F.col("centre").alias("a"), F.col("node").alias("b"))).distinct(), "join-links")
-        comps = written(components(links), "join-components")
+        links = links.unionByName(again.filter("linked").select(
+            F.col("centre").alias("a"), F.col("node").alias("b")))
         group = nested.filter("m > 2").join(again, ["centre", "node"]).select(
             F.xxhash64("grp", "centre").alias("grp"), "node", "linked", "prefix")
+        turn += 1
+        if turn & (turn - 1) == 0:  # components only save work; now and then is enough
+            comps = components(links)
+    comps = components(links) if turn else comps
 
     named = classes.join(comps, "node", "left").select(
         "node", "check", F.coalesce("component", "node").alias("component"), "least_id")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = named.join(least, "component").select("node", "check", "component", "component_id")
     return rows.drop("part_keys").join(named, ["node", "check"], "left").select(
-        *[F.col(f"`{c}`") for c in carry], "n_shingles", F.col("node").alias("class_id"),
-        "component",
-        F.when(F.col("node").isNull(), ident).otherwise(F.col("component_id"))
+        *[F.col("carried").getField(c).alias(c) for c in carry], "n_shingles",
+        F.col("node").alias("class_id"), "component",
+        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
         .alias("component_id"))

@@ -200,9 +200,12 @@ class LabelModel:
         """``unlabelled``: documents per pattern; ``labelled``: (pattern, label) counts."""
         bits = self._bits(votes)
         for turn in range(rounds):
-            post = self.posterior(votes)
+            # a first guess by the number of votes: several voters agree. A fit that began
+            # with independent voters would take two copies of one voter for the label.
+            post = self.posterior(votes) if turn else np.clip(
+                (bits.sum(1) - 0.9) / max(1.0, 0.4 * self.n), 0.01, 0.99)
             weight = np.stack([1 - post, post], 1) * unlabelled[:, None] + labelled
-            if turn == rounds // 2:  # accuracies are known roughly: add correlations
+            if turn in (0, rounds // 2):
                 self.parent = self._tree(bits, weight)
             self.prior = float(np.clip(weight[:, 1].sum() / max(weight.sum(), 1), 1e-4, 0.9))
             for j in range(self.n):

@@ -1,0 +1,188 @@
+import datetime
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from registry_analytics.llm import merkle, pii, queries, toxicity
+
+from ..conftest import SF_SMALL
+from .helpers import SCHEMA, odd_documents, random_documents
+
+
+def test_trees_cover_the_text():
+    for _, text, *_ in [*random_documents(30), (0, "", "", "", 0), (0, " \n x\n\n", "", "", 0),
+                        (0, "Grüße 🙂\r\nzwei", "", "", 0)]:
+        root = merkle.tree(text)
+        parts = list(merkle.leaves(root))
+        assert root.n_chars == len(text) == sum(p.n_chars for p in parts)
+        at = 0
+        for p in parts:
+            assert p.start == at
+            at += p.n_chars
+        assert merkle.tree(text).hash == root.hash and merkle.likeness(root, root) == 1.0
+
+
+def test_edits_are_located():
+    rng = random.Random(1)
+    text = "\n".join(" ".join(rng.choices([f"w{i}" for i in range(300)], k=25)) for _ in range(40))
+    old = merkle.tree(text)
+    at = len(text) // 2
+    changed = text[:at] + " inserted words here " + text[at:]
+    new = merkle.tree(changed)
+    spans = merkle.edits(old, new)
+    assert spans and sum(n for _, n in spans) < 400
+    assert any(s <= at + 5 < s + n for s, n in spans)
+    assert merkle.likeness(old, new) > 0.9 and merkle.edits(old, old) == []
+
+
+def plain_next(docs):
+    order = sorted(docs)
+    return {a[0]: b[1] or "" for a, b in zip(order, order[1:] + order[:1])}
+
+
+@pytest.mark.parametrize("n", [1, 2, 57])
+def test_documents_meet_their_followers(spark, n):
+    docs = [(d * 3, t) for d, t, *_ in random_documents(n)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = merkle.compare_with_next(df).collect()
+    follow = plain_next(docs)
+    texts = dict(docs)
+    assert len(got) == n
+    for r in got:
+        own, nxt = texts[r.doc_id], follow[r.doc_id]
+        cut = len(own) // 4
+        edited = own[:len(own) - cut] + nxt[:cut]
+        assert r.n_chars == len(own)
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.fingerprint == merkle.tree(own).hash.hex()
+        assert r.edited_fingerprint == merkle.tree(edited).hash.hex()
+        assert r.near_next == pytest.approx(merkle.likeness(merkle.tree(own), merkle.tree(nxt)))
+        assert 0 <= r.near_edited <= 1
+
+
+def test_merkle_query_separates_edits_from_strangers(spark):
+    got = queries.op7_merkle(spark, SF_SMALL).filter("n_chars > 400")
+    r = got.agg(F.avg("near_edited").alias("e"), F.avg("near_next").alias("n")).first()
+    assert r.e > 0.6 > 0.2 > r.n
+
+
+def test_merkle_odd_rows(spark):
+    df = spark.createDataFrame(odd_documents(), SCHEMA).withColumnRenamed("source", "fingerprint")
+    got = merkle.compare_with_next(df).collect()
+    assert len(got) == len(odd_documents())
+    assert len({r.fingerprint for r in got if r.n_chars == 0}) == 1
+    assert merkle.fingerprints(df).count() == len(odd_documents())
+    assert merkle.compare_with_next(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 10, 97, 1000])
+def test_feistel_is_a_permutation(size):
+    image = [pii.permute(i, size, b"k", b"t") for i in range(size)]
+    assert sorted(image) == list(range(size))
+    assert size < 97 or image != [pii.permute(i, size, b"other", b"t") for i in range(size)]
+
+
+VALUES = ["4111 1111 1111 1111", "4845168114407329", "+1 (017) 555-7713", "97.51.17.173",
+          "Jo.55@mail4.example.com", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "2021-03-04",
+          "29.02.2024", "123-45-6789", "DE89 3704 0044 0532 0130 00"]
+
+
+@pytest.mark.parametrize("value", VALUES)
+def test_pseudonyms_keep_the_format(value):
+    new, spans = pii.pseudonymise(f"see {value}, or {value}.")
+    assert len(spans) == 2 and value not in new
+    a, b = (new[s:e] for _, s, e in spans)
+    assert a == b and [c.isdigit() or c.isalpha() or c for c in a if spans[0][0] != "ip"] == [
+        c.isdigit() or c.isalpha() or c for c in value if spans[0][0] != "ip"]
+    assert pii.pseudonymise(a)[1]  # still valid in its format
+
+
+INVALID = ["4845168114407328", "9807915762804490", "300.1.2.3", "2021-02-30", "000-12-3456",
+           "DE88 3704 0044 0532 0130 00", "12345", "1850-01-01"]
+
+
+@pytest.mark.parametrize("value", INVALID)
+def test_invalid_values_stay(value):
+    text = f"see {value} here"
+    assert pii.pseudonymise(text) == (text, [])
+
+
+def test_equal_values_stay_linked_and_distinct_ones_apart():
+    rng = random.Random(3)
+    cards = set()
+    while len(cards) < 300:
+        p = "".join(rng.choices("0123456789", k=15))
+        cards.add(p + pii.luhn_digit(p))
+    images = {c: pii.pseudonymise(c)[0] for c in cards}
+    assert len(set(images.values())) == len(cards)
+    for c, image in images.items():
+        assert pii.luhn_digit(image[:-1]) == image[-1]
+        spaced = " ".join(c[i:i + 4] for i in range(0, 16, 4))
+        assert pii.pseudonymise(spaced)[0].replace(" ", "") == image
+    day = datetime.date(2021, 3, 4)
+    assert {pii._shift_day(day.year, day.month, day.day, pii.KEY)} == {
+        datetime.date.fromisoformat(pii.pseudonymise("2021-03-04")[0])}
+
+
+def test_pseudonym_rows(spark):
+    df = spark.createDataFrame(odd_documents() + [(50, "mail a@b.org", "en", "a", 12)], SCHEMA) \
+        .withColumn("found", F.lit("old"))
+    got = pii.pseudonyms(df).collect()
+    assert len(got) == len(odd_documents()) + 1
+    old = sorted((r[1] or "") for r in odd_documents())
+    assert sorted((r.text or "") for r in got if r.doc_id != 50) == old
+    assert [f.kind for r in got for f in r.found] == ["email"]
+    assert pii.pseudonyms(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_label_model_recovers_accuracies():
+    rng = np.random.default_rng(5)
+    y = rng.random(20_000) < 0.15
+    hit = np.array([0.7, 0.5, 0.6, 0.4])
+    false = np.array([0.02, 0.05, 0.01, 0.1])
+    v = rng.random((20_000, 4)) < np.where(y[:, None], hit, false)
+    v = np.column_stack([v, v[:, 0] ^ (rng.random(20_000) < 0.02)])  # a copy of voter 0
+    codes = (v * (1 << np.arange(5))).sum(1)
+    votes, counts = np.unique(codes, return_counts=True)
+    model = toxicity.LabelModel(5).fit(votes, counts.astype(float), np.zeros((len(votes), 2)))
+    assert model.prior == pytest.approx(0.15, abs=0.04)
+    assert 0 in (model.parent[4],) or model.parent[0] == 4  # the copy hangs on its original
+    p = dict(zip(votes.tolist(), model.posterior(votes)))
+    guess = np.array([p[c] for c in codes]) >= 0.5
+    assert (guess == y).mean() > 0.93
+
+
+def auc(scores, labels):
+    order = np.argsort(np.argsort(scores, kind="stable"), kind="stable")
+    pos = labels == 1
+    return (order[pos].mean() - (pos.sum() - 1) / 2) / (~pos).sum()
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op4_toxicity(spark, sf).join(
+        spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    assert (got.held_out == got.doc_id.map(
+        lambda d: zlib.crc32(str(d).encode()) % 4 == 2)).all()
+    out = got[got.held_out]
+    assert out.score.between(0, 1).all()
+    assert auc(out.score.to_numpy(), out.toxic.to_numpy()) > 0.9
+    assert ((out.score >= 0.3).astype(int) == out.predicted).all()
+    clean = out[out.toxic == 0]
+    assert (clean.predicted == 0).mean() > 0.97
+
+
+def test_toxicity_odd_rows(spark):
+    docs = spark.createDataFrame(odd_documents() + [(70, "you idiot loser", "en", "a", 15)], SCHEMA)
+    labels = spark.createDataFrame([(1, 0), (1, 1), (70, None), (None, 1)],
+                                   "doc_id long, toxic int")
+    got = toxicity.score(docs, labels).collect()
+    assert len(got) == len(odd_documents()) + 1
+    assert all(0 <= r.score <= 1 for r in got)
+    assert max(got, key=lambda r: r.score).doc_id == 70
+    empty = spark.createDataFrame([], SCHEMA)
+    assert toxicity.score(empty, labels.limit(0)).count() == 0

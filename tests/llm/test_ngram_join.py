@@ -1,0 +1,118 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from registry_analytics.llm import ngram_join as nj
+from registry_analytics.llm.components import components
+
+from .helpers import SCHEMA, groups, odd_documents, plain_words
+
+
+def plain_sets(docs, n):
+    out = {}
+    for doc_id, text in docs:
+        low = "".join([c.lower() if "A" <= c <= "Z" else c for c in text or ""])
+        w = plain_words(low)
+        out[doc_id] = ({tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n
+                       else {tuple(w)} if w else set())
+    return out
+
+
+def plain_components(docs, n, num, den):
+    sets = plain_sets(docs, n)
+    holders = {}
+    for doc_id, s in sets.items():
+        for e in s:
+            holders.setdefault(e, []).append(doc_id)
+    pairs = {p for ids in holders.values() for p in itertools.combinations(ids, 2)}
+    links = [(a, b) for a, b in pairs
+             if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    comp = groups(links, sets)
+    return {d: (len(sets[d]), comp[d]) for d in sets}
+
+
+def mutated(n, seed, fresh=True):
+    """Families of texts with random edits; ``fresh`` edits bring new words."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(200)]
+    bases = [[rng.choice(words) for _ in range(k)] for k in (3, 8, 15, 40, 40, 90)]
+    docs = []
+    for i in range(n):
+        t = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            p = rng.randrange(len(t))
+            word = f"new{rng.randrange(10 ** 6)}" if fresh else rng.choice(words)
+            if rng.random() < 0.6:
+                t[p] = word
+            elif rng.random() < 0.5:
+                t.insert(p, word)
+            elif len(t) > 1:
+                del t[p]
+        docs.append((i, " ".join(t)))
+    return docs
+
+
+@pytest.mark.parametrize("n,num,den,seed", [(3, 90, 100, 1), (5, 80, 100, 2)])
+def test_components_equal_brute_force(spark, n, num, den, seed):
+    docs = mutated(150, seed, fresh=seed == 1) + [
+        (2000, None), (2001, ""), (2002, "A b"), (2003, "a  B\n"), (2004, "a b c d")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in nj.jaccard_components(df, n, num, den).collect()}
+    assert got == plain_components(docs, n, num, den)
+
+
+def test_sketch_bounds_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a = rng.integers(0, 2 ** 63, 300).astype(np.uint64)
+        b = np.concatenate([a[rng.integers(0, 60):], rng.integers(0, 2 ** 63, 20).astype(np.uint64)])
+        differ = len(np.setxor1d(a, b))
+        sa, sb = nj.sketch(np.unique(a), 40), nj.sketch(np.unique(b), 40)
+        assert np.bitwise_count(sa ^ sb).sum() <= differ
+
+
+@pytest.mark.parametrize("num,den", [(90, 100), (80, 100), (50, 100)])
+def test_linked_sets_share_a_key(num, den):
+    rng = np.random.default_rng(2)
+    bands = nj.Bands(num, den)
+    for _ in range(400):
+        size = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 2 ** 63, size).astype(np.uint64))
+        drop = int(rng.integers(0, size // 3 + 1))
+        b = np.concatenate([a[drop:], rng.integers(0, 2 ** 63, int(rng.integers(0, size // 3 + 1)))
+                            .astype(np.uint64)])
+        b = np.unique(b)
+        common = len(np.intersect1d(a, b))
+        if den * common >= num * (len(a) + len(b) - common):
+            keys = set(nj.part_keys(a, bands).tolist()) & set(nj.part_keys(b, bands).tolist())
+            assert keys
+
+
+def test_odd_rows(spark):
+    df = spark.createDataFrame(odd_documents(), SCHEMA).withColumnRenamed("source", "node")
+    got = nj.jaccard_components(df, carry=["doc_id", "node"]).collect()
+    assert len(got) == len(odd_documents())
+    by_class = {}
+    for r in got:
+        if r.class_id is None:
+            assert r.n_shingles == 0 and r.component_id == r.doc_id and r.component is None
+        else:
+            by_class.setdefault(r.class_id, set()).add((r.doc_id, r.component_id))
+    assert len(by_class) == 6  # repeated rows are one class; equal ids with other texts are not
+    assert (None, None) in set().union(*by_class.values())
+    empty = spark.createDataFrame([], SCHEMA)
+    assert nj.jaccard_components(empty).count() == 0
+
+
+def test_graph_components(spark):
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)]
+    links += [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7)]
+    got = {r.node: r.component for r in components(
+        spark.createDataFrame(links, "a long, b long")).collect()}
+    nodes = {n for a, b in links if a != b for n in (a, b)}
+    assert got == groups(links, nodes)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
