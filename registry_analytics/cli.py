@@ -13,10 +13,12 @@ The session comes from the launcher (cluster settings, ``spark.checkpoint.dir``)
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from pyspark.sql import SparkSession
 
 from .schemas import NARROW_COLUMNS, WIDE_COLUMNS
+from .session import ensure_checkpoint_dir
 from .sources import load_release, read_company_list, read_release_table, save_release
 from .plans.report import release_questions, save_results
 
@@ -28,7 +30,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--companies", help="header CSV with a Parent_Company column")
     ap.add_argument("--year", help="year of the completed-per-month question")
     ap.add_argument("--layout", choices=["wide", "narrow"], default="wide")
-    ap.add_argument("--save-clean", help="write the cleaned release here (parquet) first")
+    ap.add_argument("--save-clean", help="keep the cleaned release here (parquet; default: under the checkpoint folder)")
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     args = ap.parse_args(argv)
 
@@ -37,8 +39,10 @@ def main(argv: list[str] | None = None) -> None:
         trials = load_release(spark, args.release, WIDE_COLUMNS, "\t", clean="full")
     else:
         trials = load_release(spark, args.release, NARROW_COLUMNS, "|", clean="none")
-    if args.save_clean:
-        trials = read_release_table(spark, save_release(trials, args.save_clean))
+    # the text is parsed once, whatever the number of questions
+    clean = args.save_clean or (f"{ensure_checkpoint_dir(spark).rstrip('/')}"
+                                f"/registry-clean/{uuid.uuid4().hex}")
+    trials = read_release_table(spark, save_release(trials, clean))
     companies = read_company_list(spark, args.companies) if args.companies else None
     results = release_questions(trials, companies, args.year,
                                 conditions_sep="|" if args.layout == "wide" else ",")

@@ -12,22 +12,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import sanitize_names
 from ..operators import frequency as fq
 from ..operators import recommend as rc
 from ..schemas import ACTION_COL, ITEM_COL, RATING_COL, USER_COL
-from ..session import ensure_checkpoint_dir
+from ..session import default_parallelism, ensure_checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources.csv import read_company_list
-from ..sources.lines import parse_narrow, parse_wide, read_lines, read_release_table
+from ..sources.lines import (load_release, parse_narrow, parse_wide, read_lines,
+                             read_release_table)
 from ..streaming.ingest import counts_table
 from . import questions as qn
 from . import sql as sq
 
 # Year used by the month question (the fixture's completion dates span 1995-2002).
 MONTH_YEAR = 1998
-# Small search grid for the registered tuning query (a full 27-point grid is in
-# recommend.GRIDS).
-TUNE_GRID = {"maxIter": [5], "rank": [5, 10], "regParam": [0.01, 0.1]}
+# The registered tuning query searches one of the full 27-point grids.
+TUNE_GRID = rc.GRIDS["grid_a"]
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +57,15 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(fx.materialize(spark, sf_dir)["interactions"])
 
 
+def planted_rating(user_col: str = USER_COL, item_col: str = ITEM_COL):
+    """A rating of rank one from the keys: what a factor model can find and an average
+    cannot (line quantities, the raw ratings, are independent of user and item)."""
+    part = F.substring(F.col(item_col), 2, 20).cast("long")
+    return (F.col(user_col).cast("int") % 7 + 1) / F.lit(7.0) * ((part % 5 + 1) / F.lit(5.0))
+
+
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validated, indexed, normalised ratings, checkpointed.
+    """Validated, indexed, normalised ratings (planted), checkpointed.
 
     ALS passes over its input several times while building its rating blocks, and the
     test split is scored afterwards; the reliable checkpoint (in the shared checkpoint
@@ -66,29 +74,71 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost executor re-reads files) and leaves no cached data behind.
     """
     ensure_checkpoint_dir(spark)
-    r = rc.valid_ratings(ratings(spark, sf_dir))
-    # min/max are taken over the ratings themselves (the index join keeps every row)
+    r = rc.valid_ratings(ratings(spark, sf_dir)).withColumn(RATING_COL, planted_rating())
     r = rc.normalize_ratings(r).filter(F.col(rc.NORMALIZED_COL).isNotNull())
-    r = rc.with_item_index(r)
+    r = rc.with_item_index(r)  # every valid row has an item
     return r.select("interaction_id", USER_COL, rc.INDEX_COL, rc.NORMALIZED_COL).checkpoint()
 
 
+def user_means(train: DataFrame, test: DataFrame) -> DataFrame:
+    """``test`` with the user's average training rating as ``prediction`` (users without
+    training rows left out)."""
+    means = train.groupBy(USER_COL).agg(F.avg(rc.NORMALIZED_COL).alias("prediction"))
+    return test.join(means, USER_COL)
+
+
+def _verdict(train: DataFrame, test: DataFrame, predictions: DataFrame) -> DataFrame:
+    """One row: test rows, scored rows, and whether the model beats the users' averages."""
+    model = rc.rmse_frame(predictions).withColumnRenamed("rmse", "_model")
+    plain = rc.rmse_frame(user_means(train, test)).select(F.col("rmse").alias("_plain"))
+    return test.agg(F.count(F.lit(1)).alias("n_test")).select(
+        "n_test", model.select("n_scored").scalar().alias("n_scored"),
+        (model.select("_model").scalar() < plain.scalar()).alias("beats_user_mean"))
+
+
 def als_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = rc.split_by_key(_prepared(spark, sf_dir), "interaction_id")
     model = rc.fit_als(train, **rc.FIT_DEFAULTS)
-    return rc.rmse_frame(model.transform(test))
+    return _verdict(train, test, model.transform(test))
 
 
 def als_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = rc.split_by_key(_prepared(spark, sf_dir), "interaction_id")
-    res = rc.tune(train, TUNE_GRID, train_ratio=0.8, parallelism=4)
-    scored = rc.rmse_frame(res.model.bestModel.transform(test))
-    p = res.best_params
-    return scored.select(
-        F.lit(int(p["maxIter"])).alias("maxIter"), F.lit(int(p["rank"])).alias("rank"),
-        F.lit(float(p["regParam"])).alias("regParam"),
-        F.lit(float(res.validation_rmse)).alias("validation_rmse"),
-        F.col("rmse").alias("test_rmse"), "n_scored")
+    res = rc.tune(train, TUNE_GRID, train_ratio=0.8,
+                  parallelism=max(2, min(8, default_parallelism(spark) // 2)))
+    points = len(res.model.getEstimatorParamMaps())
+    return _verdict(train, test, res.model.bestModel.transform(test)).withColumn(
+        "n_points", F.lit(points).cast("long"))
+
+
+def user_mean_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = rc.split_by_key(_prepared(spark, sf_dir), "interaction_id")
+    return rc.rmse_frame(user_means(train, test)).withColumn("rmse", F.round("rmse", 6))
+
+
+def item_index_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of all ratings on one item, spread over tasks of at most 1,000 rows."""
+    hot = ratings(spark, sf_dir).withColumn(
+        ITEM_COL, F.when(F.col("interaction_id") % 3 == 0, "HOT").otherwise(F.col(ITEM_COL)))
+    return fq.value_counts(rc.with_item_index(hot, rows_per_task=1_000),
+                           [ITEM_COL, rc.INDEX_COL], None)
+
+
+def loaded_release_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load_release(spark, fx.materialize(spark, sf_dir)["wide"], dates=True, with_source=True)
+    return df.select("Id", "Start_Cleaned", "Completion_Cleaned", "Start_Date",
+                     "Completion_Date", F.col("source_file").isNotNull().alias("has_source"))
+
+
+def view_study_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own SQL over the registered view."""
+    sq.register(trials(spark, sf_dir), "clinical_trials")
+    return spark.sql("SELECT Type, count(*) AS count FROM clinical_trials GROUP BY Type")
+
+
+def sanitized_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trials(spark, sf_dir)
+    return sanitize_names(t.select(F.col("Id").alias('"Id'), F.col("Type").alias('Type",')))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -148,14 +198,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rating_normalized": lambda s, d: rc.normalize_ratings(ratings(s, d)).select(
         "interaction_id", F.round(rc.NORMALIZED_COL, 6).alias(rc.NORMALIZED_COL)),
     "split_sizes": lambda s, d: _split_sizes(ratings(s, d)),
+    "completed_by_month_int": lambda s, d: qn.completed_months(trials(s, d), MONTH_YEAR,
+                                                               month_as_int=True),
+    "completed_by_month_with_null": lambda s, d: qn.completed_months(
+        trials(s, d), MONTH_YEAR, keep_null_month=True),
+    "loaded_release_dates": loaded_release_dates,
+    "narrow_conditions": lambda s, d: qn.top_conditions(narrow(s, d), 5, sep=","),
+    "narrow_completed_by_month": lambda s, d: qn.completed_months(narrow(s, d), MONTH_YEAR),
+    "view_study_types": view_study_types,
+    "sanitized_columns": sanitized_columns,
+    "item_index_hot": item_index_hot,
+    "user_mean_rmse": user_mean_rmse,
     "als_rmse": als_rmse,
     "als_tuned": als_tuned,
 }
 
 
 def _split_sizes(r: DataFrame) -> DataFrame:
-    return fq.value_counts(r.select(rc.split_label("interaction_id").alias("split")),
-                           "split", None)
+    train, test = rc.split_by_key(r, "interaction_id")
+    both = train.select(F.lit("train").alias("split")).unionByName(
+        test.select(F.lit("test").alias("split")))
+    return fq.value_counts(both, "split", None)
 
 
 FLAGSHIP = "top_unlisted_sponsors"

@@ -32,11 +32,18 @@ base AS (
          ELSE CAST(CAST(floor(price / 1000) AS BIGINT) AS VARCHAR) END AS enroll,
     CASE reg WHEN 0 THEN 'INDUSTRY' WHEN 1 THEN 'NIH' WHEN 2 THEN 'OTHER_GOV'
              WHEN 3 THEN 'FED' ELSE 'OTHER' END AS funder,
-    CASE WHEN k % 13 = 0 THEN '' WHEN k % 5 = 0 THEN substr(done, 1, 7) ELSE done END AS compl,
+    CASE WHEN k % 13 = 0 THEN '' WHEN k % 59 = 0 THEN substr(done, 1, 4)
+         WHEN k % 61 = 0 THEN substr(done, 1, 5) || '"' || substr(done, 6, 2)
+         WHEN k % 5 = 0 THEN substr(done, 1, 7) ELSE done END AS compl,
     CASE WHEN k % 23 = 0 THEN nname || ' ' WHEN k % 31 = 0 THEN replace(nname, '_', ',_')
          ELSE nname END AS sponsor_raw
   FROM src
   WHERE k % 17 <> 0
+),
+twice AS (
+  SELECT * FROM base UNION ALL
+  SELECT * REPLACE (CASE WHEN k % 53 = 0 THEN 'WITHDRAWN' ELSE status END AS status)
+  FROM base WHERE k % 47 = 0 OR k % 53 = 0
 )"""
 
 _WIDE = _SRC + """,
@@ -48,7 +55,7 @@ wide AS (
     CASE WHEN k % 19 = 0 THEN '' ELSE seg END AS "Study Design",
     CASE WHEN k % 19 = 0 THEN '' ELSE d END AS "Start",
     CASE WHEN k % 19 = 0 THEN '' ELSE compl END AS "Completion"
-  FROM base
+  FROM twice
 )"""
 
 _MONTHS = _WIDE + r""",
@@ -69,13 +76,37 @@ inter AS (
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 )"""
 
-_LISTED = "(SELECT n_name FROM nation WHERE n_regionkey = 1)"
+_LISTED = "(SELECT n_name FROM nation WHERE n_regionkey IN (1, 2))"
 
 # Text that is a whole number (Spark's string->INT cast rejects "12.5"; DuckDB's rounds).
 _INT_TEXT = """TRY_CAST(CASE WHEN regexp_full_match("Enrollment", '\\s*[+-]?[0-9]+\\s*')
   THEN "Enrollment" END AS INTEGER)"""
 
 
+# md5 of the key as text: the first 8 hex digits modulo 10
+_BUCKET = "CAST('0x' || substr(md5(CAST(interaction_id AS VARCHAR)), 1, 8) AS BIGINT) % 10"
+
+_ALS = _INTER + """,
+planted AS (
+  SELECT CAST("member Id" AS INTEGER) AS u, "Name of the Game" AS i, """ + _BUCKET + """ AS b,
+    (CAST("member Id" AS INTEGER) % 7 + 1) / 7.0
+      * ((CAST(substr("Name of the Game", 2) AS BIGINT) % 5 + 1) / 5.0) AS x
+  FROM inter WHERE "Status" IS NOT NULL
+),
+scaled AS (
+  SELECT u, i, b, (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) AS r FROM planted
+),
+train AS (SELECT * FROM scaled WHERE b >= 2),
+test AS (SELECT * FROM scaled WHERE b < 2),
+scored AS (
+  SELECT * FROM test WHERE u IN (SELECT u FROM train) AND i IN (SELECT i FROM train)
+)"""
+
+
+def _a(body: str) -> str:
+    return "WITH " + _ALS + "\n" + body
+
+
 def _w(body: str) -> str:
     return "WITH " + _WIDE + "\n" + body
 
@@ -98,7 +129,7 @@ ORACLE: dict[str, str] = {
     "clean_wide_rows": _w("SELECT * FROM wide"),
     "clean_narrow_rows": "WITH " + _SRC + """
 SELECT id AS "Id", sponsor_raw AS "Sponsor", status AS "Status", d AS "Start",
-  compl AS "Completion",
+  replace(compl, '"', '",') AS "Completion",
   CASE WHEN k % 19 = 0 THEN '' WHEN k % 29 = 0 THEN '"' || prio || '"' ELSE prio END AS "Type",
   '' AS "Submission",
   CASE WHEN k % 19 = 0 OR k % 7 = 0 THEN '' ELSE prio || ',' || seg END AS "Conditions",
@@ -114,7 +145,7 @@ SELECT id AS "Id", 'Study no ' || CAST(k AS VARCHAR) AS "Study Title", '' AS "Ac
   CASE WHEN k % 19 = 0 THEN NULL ELSE seg END AS "Study Design",
   CASE WHEN k % 19 = 0 THEN NULL ELSE d END AS "Start",
   CASE WHEN k % 19 = 0 THEN NULL ELSE compl END AS "Completion"
-FROM base""",
+FROM twice""",
     "month_truncation": _m('SELECT "Id", "Start_Cleaned", "Completion_Cleaned" FROM months'),
     "month_labels": _m("""SELECT "Id",
   coalesce(strftime(try_strptime("Start_Cleaned", '%Y-%m'), '%b %Y'), "Start_Cleaned")
@@ -133,7 +164,8 @@ WHERE condition <> '' GROUP BY condition ORDER BY "count" DESC, condition LIMIT
 FROM (SELECT unnest(string_split("Conditions", '|')) AS c FROM wide)
 WHERE c <> '' GROUP BY c ORDER BY "count" DESC, trim(c), c LIMIT 5"""),
     "top_unlisted_sponsors": _top("Sponsor", 10, f'WHERE "Sponsor" NOT IN {_LISTED}'),
-    "completed_by_month": _m("""SELECT split_part("Completion_Cleaned", '-', 2) AS "Month",
+    "completed_by_month": _m("""SELECT
+  replace(split_part("Completion_Cleaned", '-', 2), '"', '') AS "Month",
   count(*) AS "count"
 FROM months
 WHERE "Status" = 'COMPLETED' AND starts_with("Completion_Cleaned", '1998')
@@ -188,9 +220,58 @@ FROM (SELECT "Name of the Game", count(*) AS n FROM inter GROUP BY 1)"""),
     "rating_normalized": _i("""SELECT interaction_id,
   round(("Status" - lo) / (hi - lo), 6) AS "Normalized_Status"
 FROM inter, (SELECT min("Status") AS lo, max("Status") AS hi FROM inter)"""),
-    "split_sizes": _i("""SELECT CASE WHEN interaction_id % 10 < 2 THEN 'test' ELSE 'train' END
+    "split_sizes": _i("""SELECT CASE WHEN """ + _BUCKET + """ < 2 THEN 'test' ELSE 'train' END
   AS split, count(*) AS "count" FROM inter GROUP BY 1"""),
+    # registered options of the loader and the questions
+    "completed_by_month_int": _m("""SELECT
+  CAST(replace(split_part("Completion_Cleaned", '-', 2), '"', '') AS INTEGER) AS "Month",
+  count(*) AS "count"
+FROM months
+WHERE "Status" = 'COMPLETED' AND split_part("Completion_Cleaned", '-', 1) = '1998'
+  AND split_part("Completion_Cleaned", '-', 2) <> ''
+GROUP BY 1"""),
+    "completed_by_month_with_null": _m("""SELECT
+  nullif(replace(split_part("Completion_Cleaned", '-', 2), '"', ''), '') AS "Month",
+  count(*) AS "count"
+FROM months
+WHERE "Status" = 'COMPLETED' AND split_part("Completion_Cleaned", '-', 1) = '1998'
+GROUP BY 1"""),
+    "loaded_release_dates": _m("""SELECT "Id", "Start_Cleaned", "Completion_Cleaned",
+  coalesce(strftime(try_strptime("Start_Cleaned", '%Y-%m'), '%b %Y'), "Start_Cleaned")
+    AS "Start_Date",
+  coalesce(strftime(try_strptime("Completion_Cleaned", '%Y-%m'), '%b %Y'), "Completion_Cleaned")
+    AS "Completion_Date",
+  TRUE AS has_source
+FROM months"""),
+    "narrow_conditions": "WITH " + _SRC + """
+SELECT condition, count(*) AS "count"
+FROM (SELECT unnest([prio, seg]) AS condition FROM base WHERE k % 19 <> 0 AND k % 7 <> 0)
+GROUP BY condition ORDER BY "count" DESC, condition LIMIT 5""",
+    "narrow_completed_by_month": "WITH " + _SRC + """
+SELECT replace(split_part(compl, '-', 2), '"', '') AS "Month", count(*) AS "count"
+FROM base
+WHERE status = 'COMPLETED' AND split_part(compl, '-', 1) = '1998'
+  AND split_part(compl, '-', 2) <> ''
+GROUP BY 1""",
+    "sanitized_columns": _w('SELECT "Id", "Type" FROM wide'),
+    "item_index_hot": _i("""
+, hot AS (SELECT CASE WHEN interaction_id % 3 = 0 THEN 'HOT' ELSE "Name of the Game" END AS item
+          FROM inter),
+n AS (SELECT item, count(*) AS n FROM hot GROUP BY 1)
+SELECT item AS "Name of the Game", n AS "count",
+  CAST(row_number() OVER (ORDER BY n DESC, item) - 1 AS DOUBLE) AS "gameId" FROM n"""),
+    # recommender: what the split decides, and the plain predictor
+    "als_rmse": _a("""SELECT (SELECT count(*) FROM test) AS n_test,
+  (SELECT count(*) FROM scored) AS n_scored, TRUE AS beats_user_mean"""),
+    "als_tuned": _a("""SELECT CAST(27 AS BIGINT) AS n_points,
+  (SELECT count(*) FROM test) AS n_test, (SELECT count(*) FROM scored) AS n_scored,
+  TRUE AS beats_user_mean"""),
+    "user_mean_rmse": _a("""
+, m AS (SELECT u, avg(r) AS p FROM train GROUP BY u)
+SELECT round(sqrt(avg((t.r - m.p) * (t.r - m.p))), 6) AS rmse, count(*) AS n_scored
+FROM test t JOIN m ON t.u = m.u"""),
 }
+ORACLE["view_study_types"] = ORACLE["study_types"]
 
 # The SQL-form queries answer the same questions as their DataFrame twins.
 ORACLE["sql_row_count"] = ORACLE["row_count"]

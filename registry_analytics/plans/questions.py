@@ -36,38 +36,35 @@ def study_types(trials: DataFrame, limit: int | None = None) -> DataFrame:
     return fq.value_counts(trials.select("Type"), "Type", "desc", limit)
 
 
-def top_conditions(trials: DataFrame, k: int = 5, trim: bool = True) -> DataFrame:
-    return fq.token_counts(trials, "Conditions", "|", trim=trim, out_col="condition", limit=k)
+def top_conditions(trials: DataFrame, k: int = 5, trim: bool = True,
+                   sep: str = "|") -> DataFrame:
+    """``sep``: the wide release joins conditions with ``|``, older ones with ``,``."""
+    return fq.token_counts(trials, "Conditions", sep, trim=trim, out_col="condition", limit=k)
 
 
 def top_unlisted_sponsors(trials: DataFrame, companies: DataFrame, k: int = 10,
-                          normalize: bool = True, broadcast="auto") -> DataFrame:
-    return top_unlisted(trials, "Sponsor", companies, COMPANY_COLUMN, k, normalize=normalize,
-                        broadcast=broadcast)
+                          normalize: bool = True) -> DataFrame:
+    return top_unlisted(trials, "Sponsor", companies, COMPANY_COLUMN, k, normalize=normalize)
 
 
-def unlisted_sponsor_rows(trials: DataFrame, companies: DataFrame, k: int = 10,
-                          broadcast="auto") -> DataFrame:
+def unlisted_sponsor_rows(trials: DataFrame, companies: DataFrame, k: int = 10) -> DataFrame:
     """Same question, row-wise: anti join every trial row against the list (keeps
     duplicates, like a set subtraction that is not de-duplicated), then count."""
-    rows = exclude_listed(trials.select("Sponsor"), "Sponsor", companies, COMPANY_COLUMN,
-                          broadcast=broadcast)
+    rows = exclude_listed(trials.select("Sponsor"), "Sponsor", companies, COMPANY_COLUMN)
     return fq.value_counts(rows, "Sponsor", "desc", k)
 
 
-def completed_months(trials: DataFrame, year: str | int,
-                     month_as_int: bool = False) -> DataFrame:
+def completed_months(trials: DataFrame, year: str | int, month_as_int: bool = False,
+                     keep_null_month: bool = False) -> DataFrame:
     """Completed studies per month of ``year``.
 
-    ``Completion_Cleaned`` is derived when absent. Month truncation only drops a
-    ``-DD`` suffix, so the first seven characters never change and the year-prefix test
-    can also be put on the raw column, where it is pushed into the scan
-    (``StringStartsWith`` lets parquet skip row groups).
+    Month truncation only drops a ``-DD`` suffix, so year and month are the same parts of
+    the raw date; without ``Completion_Cleaned`` the raw column is read, where the year
+    prefix is pushed into the scan (``StringStartsWith`` lets parquet skip row groups).
     """
-    if "Completion_Cleaned" not in trials.columns:
-        trials = (trials.filter(F.col("Completion").startswith(str(year)))
-                  .withColumn("Completion_Cleaned", to_month("Completion")))
-    return completed_by_month(trials, year, month_as_int=month_as_int)
+    date = "Completion_Cleaned" if "Completion_Cleaned" in trials.columns else "Completion"
+    return completed_by_month(trials, year, date_col=date, month_as_int=month_as_int,
+                              keep_null_month=keep_null_month)
 
 
 def top_collaborators(trials: DataFrame, k: int = 10) -> DataFrame:
@@ -93,9 +90,9 @@ def study_design_share(trials: DataFrame, digits: int = 1) -> DataFrame:
 
 
 def starts_by_year(trials: DataFrame) -> DataFrame:
-    if "Start_Cleaned" not in trials.columns:
-        trials = trials.withColumn("Start_Cleaned", to_month("Start"))
-    return counts_by_year(trials, "Start_Cleaned", "prefix", "start_year")
+    # truncation to the month leaves the first four characters alone
+    date = "Start_Cleaned" if "Start_Cleaned" in trials.columns else "Start"
+    return counts_by_year(trials, date, "prefix", "start_year")
 
 
 def starts_by_year_split(trials: DataFrame) -> DataFrame:

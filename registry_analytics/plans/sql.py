@@ -42,7 +42,8 @@ WITH counts AS (
   WHERE name IS NOT NULL AND name <> ''
 )
 SELECT c.Sponsor, c.count
-FROM counts c LEFT JOIN listed l ON l.name = c.Sponsor
+FROM counts c LEFT JOIN listed l
+  ON l.name = btrim(btrim(translate(c.Sponsor, ',', ''), {ws}), '"')
 WHERE l.name IS NULL
 ORDER BY count DESC, Sponsor
 LIMIT {k}
@@ -51,13 +52,10 @@ LIMIT {k}
 COMPLETED_BY_MONTH = """
 SELECT Month, count(*) AS completed_studies
 FROM (
-  SELECT get(split(Completion_Cleaned, '-', -1), 0) AS Year,
-         translate(get(split(Completion_Cleaned, '-', -1), 1), ',"', '') AS Month
-  FROM (SELECT Status, regexp_replace(Completion, '\\\\b(\\\\d{{4}}-\\\\d{{2}})-\\\\d{{2}}\\\\b', '$1')
-               AS Completion_Cleaned
-        FROM {trials}
-        WHERE startswith(Completion, {year}))
-  WHERE Status = 'COMPLETED' AND startswith(Completion_Cleaned, {year})
+  SELECT get(split(Completion, '-', -1), 0) AS Year,
+         translate(get(split(Completion, '-', -1), 1), ',"', '') AS Month
+  FROM {trials}
+  WHERE Status = 'COMPLETED' AND startswith(Completion, {year})
 )
 WHERE Year = {year} AND Month IS NOT NULL
 GROUP BY Month

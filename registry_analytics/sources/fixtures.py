@@ -12,7 +12,7 @@ grows with those tables:
 * ``interactions`` - one rating per line item: customer, part, play/purchase, quantity.
 
 The derivation rules are spelled out once in ``FIXTURES.md``; the oracle SQL in
-``__spark_entry__.py`` restates them directly on the cleaned values.
+``plans/oracle.py`` restates them directly on the cleaned values.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import maybe_broadcast
 from ..schemas import (ACTION_COL, ITEM_COL, NARROW_COLUMNS, RATING_COL, USER_COL,
                        WIDE_COLUMNS)
 from ..session import ensure_checkpoint_dir, session_key
@@ -41,16 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _orders_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders ⋈ customer ⋈ nation, only the columns the fixtures use.
 
-    nation is the fixed 25-row dimension of the schema; it is broadcast after the same
-    size check as every other broadcast. The orders/customer join is left to the planner
-    (sort-merge at scale, AQE skew split).
+    No join is hinted: nation is small enough for the planner to broadcast by itself, and
+    the orders/customer join is sort-merge at scale (AQE skew split).
     """
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
         "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    cn = c.join(maybe_broadcast(n), c.c_nationkey == n.n_nationkey)
+    cn = c.join(n, c.c_nationkey == n.n_nationkey)
     return o.join(cn, o.o_custkey == cn.c_custkey)
 
 
@@ -89,6 +87,9 @@ def _raw_fields(k: Column) -> dict[str, Column]:
         "Study Design": seg,
         "Start": d,
         "Completion": (F.when(k % 13 == 0, F.lit(""))
+                       .when(k % 59 == 0, F.substring(done, 1, 4))
+                       .when(k % 61 == 0, F.concat(F.substring(done, 1, 5), F.lit('",'),
+                                                F.substring(done, 6, 2)))
                        .when(k % 5 == 0, F.substring(done, 1, 7))
                        .otherwise(done)),
     }
@@ -98,11 +99,15 @@ def wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tab-separated, quote-wrapped 14-field lines (``value``), header line included.
 
     Per order key k: k%17=0 over-long (an extra field), k%19=0 cut after 10 fields,
-    k%43=0 spaces outside the quotes.
+    k%43=0 spaces outside the quotes, k%47=0 the line twice, k%53=0 a second line of the
+    same Id with another status.
     """
-    src = _orders_customers(spark, sf_dir)
     k = F.col("o_orderkey")
+    times = F.when((k % 47 == 0) | (k % 53 == 0), 2).otherwise(1)
+    src = _orders_customers(spark, sf_dir).withColumn(
+        "_nth", F.explode(F.sequence(F.lit(1), times)))
     f = _raw_fields(k)
+    f["Status"] = F.when((F.col("_nth") == 2) & (k % 53 == 0), "WITHDRAWN").otherwise(f["Status"])
     full = F.concat_ws("\t", *[f[c] for c in WIDE_COLUMNS])
     short = F.concat_ws("\t", *[f[c] for c in WIDE_COLUMNS[:10]])
     body = (F.when(k % 17 == 0, F.concat(full, F.lit("\textra")))
@@ -135,9 +140,15 @@ def narrow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def company_list(spark: SparkSession, sf_dir: str, region: int = EXCLUDED_REGION) -> DataFrame:
-    """``Parent_Company``: names of the nations in one region."""
+    """``Parent_Company``: the nations of one region by name, those of the next region in
+    other spellings of the same name (a comma, spaces, quotes), a blank and a NULL."""
     n = table(spark, sf_dir, "nation")
-    return n.filter(F.col("n_regionkey") == region).select(F.col("n_name").alias("Parent_Company"))
+    other = F.concat(F.lit(' "'), F.regexp_replace("n_name", "_", "_,"), F.lit('" '))
+    named = n.filter(F.col("n_regionkey").isin(region, region + 1)).select(
+        F.when(F.col("n_regionkey") == region, F.col("n_name")).otherwise(other)
+        .alias("Parent_Company"))
+    blank = spark.range(2).select(F.when(F.col("id") == 0, F.lit(" ")).alias("Parent_Company"))
+    return named.unionByName(blank)
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:

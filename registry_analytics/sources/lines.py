@@ -80,8 +80,22 @@ def parse_lines(lines: DataFrame, columns: Sequence[str] | StructType, sep: str
     line = F.col(value_col)
     if clean == "edges":
         line = strip_space(line)
-    tok = lines.select(*keep, split_literal(line, sep).alias("_tok"))
-    tok = tok.filter(F.size("_tok") <= n)
+    # separators are counted, so an over-long line is never split
+    n_seps = (F.length(line) - F.length(F.replace(line, F.lit(sep)))) / len(sep)
+    rows = lines.filter(n_seps < n)
+    if header == "columns":
+        header_names = names
+    elif header == "first":
+        first = parse_lines(lines.select(value_col).limit(1), names, sep, clean, None,
+                            value_col).first()
+        header_names = None if first is None else ["" if v is None else v for v in first]
+    else:
+        header_names = None if header is None else list(header)
+    if header_names is not None:
+        if len(header_names) != n:
+            raise ValueError("header must name every column")
+        rows = rows.filter(~_is_header(line, sep, header_names, clean))
+    tok = rows.select(*keep, split_literal(line, sep).alias("_tok"))
 
     def field(i: int) -> Column:
         raw = F.get(F.col("_tok"), i)
@@ -94,32 +108,15 @@ def parse_lines(lines: DataFrame, columns: Sequence[str] | StructType, sep: str
             c = strip_quotes(c)
         return c
 
-    parsed = tok.select(*keep, "_tok", *[field(i).alias(name) for i, name in enumerate(names)])
-
-    if header is None:
-        return parsed.drop("_tok")
-    if header == "columns":
-        header_names = names
-    elif header == "first":
-        first = parse_lines(lines.select(value_col).limit(1), names, sep, clean, None,
-                            value_col).first()
-        if first is None:
-            return parsed.drop("_tok")
-        header_names = ["" if v is None else v for v in first]
-    else:
-        header_names = list(header)
-    if len(header_names) != n:
-        raise ValueError("header must name every column")
-    return parsed.filter(~_is_header(header_names, clean)).drop("_tok")
+    return tok.select(*keep, *[field(i).alias(name) for i, name in enumerate(names)])
 
 
-def _cleaned_tokens(clean: str, n: int) -> Column:
+def _cleaned_tokens(tok: Column, clean: str, n: int) -> Column:
     """All tokens of a row cleaned by ``clean`` and padded to ``n``, as one array.
 
     A higher-order ``transform`` keeps the generated code of the filter small whatever
     the number of columns (one call instead of one inlined expression per column).
     """
-    tok = F.col("_tok")
     if clean == "full":
         arr = F.transform(tok, lambda x: F.coalesce(clean_token(x), F.lit("")))
     elif clean == "none":
@@ -133,21 +130,23 @@ def _cleaned_tokens(clean: str, n: int) -> Column:
     return F.concat(arr, F.array_repeat(pad, missing))
 
 
-def _is_header(header_names: list[str], clean: str) -> Column:
-    """True exactly for rows whose cleaned, padded fields equal the header names.
+def _is_header(line: Column, sep: str, header_names: list[str], clean: str) -> Column:
+    """True exactly for lines whose cleaned, padded fields equal the header names.
 
-    A cheap necessary condition on the raw token of the first named column (commas
-    removed, substring test) runs first; the full comparison only runs for candidates.
+    A cheap necessary condition comes first: the line up to the first named column, with
+    the characters that the rule deletes taken out, holds that name. Only such candidates
+    are split and compared in full.
     """
     n = len(header_names)
     expected = F.array(*[F.lit(h) for h in header_names])
-    full = _cleaned_tokens(clean, n).eqNullSafe(expected)
+    full = _cleaned_tokens(split_literal(line, sep), clean, n).eqNullSafe(expected)
     first = next((i for i, h in enumerate(header_names) if h), None)
     if first is None:
         return full
-    raw_first = delete_commas(F.get(F.col("_tok"), first))
-    candidate = F.coalesce(F.instr(raw_first, header_names[first]) > 0, F.lit(False))
-    return candidate & full
+    start = F.substring_index(line, sep, first + 1)
+    if clean != "none":
+        start = delete_commas(start)
+    return F.when(F.instr(start, header_names[first]) > 0, full).otherwise(F.lit(False))
 
 
 def parse_wide(lines: DataFrame, clean: str | bool = "full", header="columns",

@@ -1,5 +1,5 @@
-from .ingest import (counts_table, run_available, running_counts, stream_lines,
+from .ingest import (counts_table, latest, run_available, running_counts, stream_lines,
                      stream_release)
 
-__all__ = ["counts_table", "run_available", "running_counts", "stream_lines",
+__all__ = ["counts_table", "latest", "run_available", "running_counts", "stream_lines",
            "stream_release"]

@@ -60,11 +60,16 @@ def scratch_location(spark: SparkSession, kind: str) -> str:
 
 def run_available(stream: DataFrame, out_path: str, checkpoint: str,
                   output_mode: str = "complete") -> str:
-    """Process everything available now, keep the latest full result as parquet at
-    ``out_path``, stop. Returns ``out_path``."""
+    """Process everything available now, write the full result of each micro-batch as
+    parquet under ``out_path``, stop. Returns ``out_path``.
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    Every batch has a folder of its own, whose files appear when the write commits: a
+    reader (see :func:`latest`) always finds the last whole result, and a batch that is
+    run again after a crash replaces its own folder only.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     q = (stream.writeStream.outputMode(output_mode).foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -72,6 +77,12 @@ def run_available(stream: DataFrame, out_path: str, checkpoint: str,
     return out_path
 
 
+def latest(spark: SparkSession, out_path: str) -> DataFrame:
+    """The result of the last committed micro-batch under ``out_path``."""
+    df = spark.read.parquet(out_path)
+    return df.filter(F.col("epoch") == df.select(F.max("epoch")).scalar()).drop("epoch")
+
+
 def counts_table(spark: SparkSession, path: str, key: str, columns=WIDE_COLUMNS,
                  sep: str = "\t", clean="full", max_files_per_trigger: int | None = None,
                  count_col: str = "count",
@@ -84,4 +95,4 @@ def counts_table(spark: SparkSession, path: str, key: str, columns=WIDE_COLUMNS,
     counts = running_counts(rows, key, count_col)
     out = scratch_location(spark, "out")
     run_available(counts, out, scratch_location(spark, "state"))
-    return spark.read.parquet(out)
+    return latest(spark, out)

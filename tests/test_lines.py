@@ -76,16 +76,19 @@ def test_header_from_first_line(spark):
     assert parse_lines(empty, COLS, "\t", header="first").count() == 0
 
 
-def py_parse(lines, n, header):
-    """The line rule in plain Python: clean every field, pad to n, drop rows equal to
-    the header and rows that do not have exactly n fields."""
-    out = []
-    for line in lines:
-        parts = [p.replace(",", "").strip().strip('"') for p in line.split("\t")]
-        parts += [""] * (n - len(parts))
-        if parts != header and len(parts) == n:
-            out.append(tuple(parts))
-    return out
+# hand-written lines with the fields they must give
+PARSED = [
+    ('"1\t2\t3"', ("1", "2", "3")), ("1\t2", ("1", "2", "")), ("", ("", "", "")),
+    (' 4,5 \t"x y"\t,', ("45", "x y", "")), ('\xa0a\xa0\t""\t"b', ("a", "", "b")),
+    ('a\t"b" \t ab ', None), ('"a\tb\tab"', None), ("1\t2\t3\t4", None),
+    ("a\tb\tab\t", None), ("a\tb\tabc", ("a", "b", "abc")), ("xa\tb\tab", ("xa", "b", "ab")),
+]
+
+
+def test_written_out_lines(spark):
+    df = spark.createDataFrame([(v,) for v, _ in PARSED], "value string").coalesce(1)
+    want = [fields for _, fields in PARSED if fields is not None]
+    assert rows(parse_lines(df, ["a", "b", "ab"], "\t")) == want
 
 
 LINE = st.text(alphabet=["a", "b", '"', ",", " ", "\t", "\xa0"], max_size=12)
@@ -93,10 +96,29 @@ LINE = st.text(alphabet=["a", "b", '"', ",", " ", "\t", "\xa0"], max_size=12)
 
 @settings(max_examples=6, deadline=None)
 @given(st.lists(LINE, min_size=1, max_size=150))
-def test_parser_matches_python_rule(spark, lines):
-    header = ["a", "b", "ab"]
-    data = ['"a\tb\tab"'] + lines
+def test_parser_properties(spark, lines):
+    header = ("p", "q", "pq")  # letters that no drawn line holds
+    data = ["p\tq\tpq"] + lines + ['"p"\tq\t,pq']
     df = spark.createDataFrame([(v,) for v in data], "value string").coalesce(1)
-    assert rows(parse_lines(df, header, "\t")) == py_parse(data, 3, header)
-    first = py_parse(data[:1], 3, None)[0]  # the first line, cleaned, is the header
-    assert rows(parse_lines(df, header, "\t", header="first")) == py_parse(data, 3, list(first))
+    got = rows(parse_lines(df, list(header), "\t"))
+    short = [line for line in lines if line.count("\t") <= 2]
+    assert len(got) == len(short) and header not in got
+    for line, fields in zip(short, got):  # order is kept, letters are neither lost nor moved
+        raw = line.split("\t") + [""] * (2 - line.count("\t"))
+        for cell, value in zip(raw, fields):
+            assert [c for c in value if c in "ab"] == [c for c in cell if c in "ab"]
+            assert "," not in value and value[:1] != '"' and value[-1:] != '"'
+
+
+def test_header_whose_first_cell_holds_a_comma(spark):
+    df = lines_df(spark, ["Id, no|b|c", "1|2|3"])
+    for header in (["Id, no", "b", "c"], "first"):
+        assert rows(parse_lines(df.coalesce(1), COLS, "|", clean="none", header=header)) == [
+            ("1", "2", "3")]
+
+
+def test_lines_are_split_once(spark):
+    df = parse_lines(lines_df(spark, ["a|b|c", "1|2|3"]), COLS, "|").select("b")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    project = [x for x in plan.split("\n") if "Project" in x]
+    assert sum(x.count("split(") for x in project) == 1

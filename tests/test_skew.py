@@ -36,8 +36,7 @@ def test_exclusion_with_hot_key_without_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        got = rows(top_unlisted(trials, "Sponsor", listed, "Parent_Company", k=3,
-                                broadcast="never"))
+        got = rows(top_unlisted(trials, "Sponsor", listed, "Parent_Company", k=3))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
@@ -51,8 +50,8 @@ def test_item_index_and_join_with_hot_item(spark):
     idx = dict(rows(rc.item_index(df, "g", "idx")))
     ranked = sorted(expected_counts().items(), key=lambda kv: (-kv[1], kv[0]))
     assert idx == {k: float(i) for i, (k, _) in enumerate(ranked)}
-    for mode in ("never", "auto"):
-        joined = rc.with_item_index(df, "g", "idx", broadcast=mode)
+    for size in (100, 1_000_000):  # the hot item over 100 salts, or one
+        joined = rc.with_item_index(df, "g", "idx", rows_per_task=size)
         assert joined.count() == N  # nothing dropped or duplicated
         assert joined.filter(F.col("g") == "HOT").select("idx").distinct().first()[0] == 0.0
 
@@ -80,11 +79,20 @@ def test_normalized_ratings_in_unit_interval(spark):
     assert (out[0], out[1]) == (0.0, 1.0)
 
 
-def test_salted_index_join_equals_broadcast_join(spark):
-    df = hot_frame(spark, "g").withColumn("r", F.monotonically_increasing_id())
-    salted = rc.with_item_index(df, "g", "idx", broadcast="never", salt_buckets=8)
-    plain = rc.with_item_index(df, "g", "idx", broadcast="always")
+def test_salted_index_join_equals_plain_join(spark):
+    df = hot_frame(spark, "g").withColumn("r", F.hash("g") % 1000)
+    salted = rc.with_item_index(df, "g", "idx", rows_per_task=50)
+    plain = df.join(rc.item_index(df, "g", "idx"), "g")
     assert salted.columns == plain.columns
     assert sorted(rows(salted)) == sorted(rows(plain))
-    plan = salted._jdf.queryExecution().executedPlan().toString()
-    assert "LeftAnti" not in plan and "Generate explode" in plan
+
+
+def test_rows_without_an_item_or_key(spark):
+    df = spark.createDataFrame([("a", 1), (None, 12), ("a", None)], "g string, k long")
+    assert rows(rc.item_index(df, "g", "idx")) == [("a", 0.0)]
+    assert rc.with_item_index(df, "g", "idx").count() == 2
+    train, test = rc.split_by_key(df, "k")
+    assert train.count() + test.count() == 3
+    labels = dict(rows(df.groupBy(rc.split_label("k").alias("s")).count()))
+    assert labels.get("train", 0) == train.count() and labels.get("test", 0) == test.count()
+    assert train.filter("k is null").count() == 1

@@ -1,6 +1,6 @@
 from registry_analytics.schemas import WIDE_COLUMNS
 from registry_analytics.sources import parse_wide, read_lines
-from registry_analytics.streaming import counts_table, running_counts, stream_release
+from registry_analytics.streaming import counts_table, latest, running_counts, stream_release
 
 from .conftest import rows
 
@@ -45,7 +45,7 @@ def test_restart_from_checkpoint_adds_only_new_files(spark, tmp_path):
     def run():
         counts = running_counts(stream_release(spark, str(src)), "Type")
         run_available(counts, out, ckpt)
-        return dict(rows(spark.read.parquet(out)))
+        return dict(rows(latest(spark, out)))
 
     first = run()
     assert sum(first.values()) == 20
