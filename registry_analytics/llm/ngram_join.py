@@ -12,20 +12,16 @@ differ in at most x (1 - t) / t elements.
    little; a sketch with at most K of them is joined on its other parts only, which
    still include an agreeing one. Other sketches are joined on all parts. A set is
    sketched for its own band and, if a linked set can lie in the band below, for that.
-3. Equal sets are one class. Classes that share a part value form a bucket. Buckets are not
-   expanded to pairs: one member, the centre (most copies, then the largest id), is
-   verified exactly against each other member.
-4. What is left in a bucket are pairs (i, j) of members of one centre o. Let d(i) be the
-   symmetric difference of i and o. If i and j are linked but not both linked to o, then
-   d(i) and d(j) overlap, by at least |d(i)| - T(i) elements where T(i) is the greatest
-   difference a partner of i can have. So, with the elements of d in one fixed order, i and
-   j share one of the first T + 1 elements (prefix filter). Members of o with a shared
-   prefix element form the next buckets, each with a centre of its own. A bucket ends when
-   its members are already in one component or only two are left. Every round takes a
-   centre out, so this ends, and no linked pair is lost.
-
-All work is linear in sketch parts and verified pairs; hot parts, copies and passages
-never become all pairs of a group.
+3. Equal sets are one class. Classes that share a part value form a bucket; all buckets with
+   the same centre (the member with most copies, then the largest hash) are one group. So
+   a linked pair lies together in some group.
+4. A group is dealt into blocks of bounded size. For every pair of blocks one task counts
+   all intersections exactly, by a product of incidence matrices, and returns a spanning
+   forest of the links it finds: at most one row per member, never all pairs. Components
+   of the forests are the components of the links.
+
+Buckets, groups and blocks have no cap and nothing is dropped. A group of m members costs
+about m squared / block size rows to deal out; exact copies do not count as members.
 """
 
 from __future__ import annotations
@@ -42,6 +38,13 @@ from pyspark.sql import types as T
 from .common import ship_code, written
 from .components import components
 
+# a block has about so many members and elements at most
+BLOCK_NODES = 256
+BLOCK_ELEMENTS = 400_000
+# representatives of candidate classes (two numbers each) that may be broadcast; more are
+# joined by a shuffle
+MAX_BROADCAST_ROWS = 1_000_000
+_COLUMNS = 4096
 _SLICE = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -192,25 +195,64 @@ def _sets(df: DataFrame, n: int) -> DataFrame:
     return df.select("node", "text").mapInArrow(run, "node long, elements array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``pairs`` (centre, node) with ``linked`` and ``prefix``: the first T + 1 elements of
-    the symmetric difference, those of the node first."""
-    own = sets.select("node", F.col("elements").alias("a"))
-    mid = sets.select(F.col("node").alias("centre"), F.col("elements").alias("b"))
-    df = pairs.join(own, "node").join(mid, "centre").select(
-        "centre", "node", F.size("a").alias("x"), F.size("b").alias("y"),
-        F.array_except("a", "b").alias("more"), F.array_except("b", "a").alias("less"))
-    common = F.col("x") - F.size("more")
-    union = F.col("y") + F.size("more")
-    differ = F.floor(F.col("x") * (den - num) / num).cast("int")
-    return df.select(
-        "centre", "node", (common * den >= union * num).alias("linked"),
-        F.slice(F.concat(F.array_sort("more"), F.array_sort("less")), F.lit(1), differ + 1)
-        .alias("prefix"))
-
-
-def _centre(*rank: Column) -> Column:
-    return F.max(F.struct(*rank, "node"))
+def _forest(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int
+            ) -> list[tuple[int, int]]:
+    """Spanning forest of the links among the given sets."""
+    sizes = np.array([len(e) for e in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[ids] > 1  # the others are in no intersection
+    column = np.cumsum(counts > 1) - 1
+    owner, ids = owner[shared], column[ids[shared]]
+    order = np.argsort(ids, kind="stable")
+    owner, ids = owner[order], ids[order]
+    common = np.zeros((len(sets), len(sets)), np.float64)
+    for at in range(0, int(ids[-1]) + 1 if len(ids) else 0, _COLUMNS):
+        lo, hi = np.searchsorted(ids, (at, at + _COLUMNS))
+        part = np.zeros((len(sets), _COLUMNS), np.float32)  # sums below 2 ** 24 are exact
+        part[owner[lo:hi], ids[lo:hi] - at] = 1
+        common += part @ part.T
+    union = sizes[:, None] + sizes[None, :] - common
+    up = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    edges = []
+    for i, j in np.argwhere(np.triu(common * den >= union * num, 1)).tolist():
+        a, b = root(i), root(j)
+        if a != b:
+            up[a] = b
+            edges.append((int(nodes[i]), int(nodes[j])))
+    return edges
+
+
+def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Forest edges ``a``, ``b`` of every group. ``members``: ``grp``, ``node``, ``n``."""
+    blocks = members.groupBy("grp").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_ELEMENTS))
+        .cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64(F.lit(9), "node"), F.col("blocks")).cast("int")
+    dealt = (members.join(blocks, "grp").withColumn("own", own)
+             .select("grp", "node", "own",
+                     F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+             .select("node", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))
+                     .alias("task")))
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        values = table.column("elements").combine_chunks()
+        flat = values.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))
+        edges = _forest(nodes, np.split(flat, ends[:-1]), num, den)
+        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()),
+                         "b": pa.array([b for _, b in edges], pa.int64())})
+
+    return (dealt.join(sets, "node").groupBy("task").applyInArrow(compare, "a long, b long")
+            .distinct())
 
 
 def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
@@ -234,62 +276,30 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     docs = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"),
                      ident.alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = written(sketches(docs, n, num, den).drop("text"), "join-rows")
-    sets_seen = rows.filter(F.col("node").isNotNull())
     classes = written(
-        sets_seen.groupBy("node", "check").agg(
+        rows.filter(F.col("node").isNotNull()).groupBy("node", "check", "n_shingles").agg(
             F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id"),
             F.first("part_keys").alias("part_keys")), "join-classes")
 
     by_key = Window.partitionBy("key")
     buckets = (classes.select("node", "copies", F.explode("part_keys").alias("key"))
                .withColumn("m", F.count(F.lit(1)).over(by_key))
-               .withColumn("top", _centre("copies").over(by_key)).filter("m > 1"))
-    # all buckets of one centre are one group; "more" if a bucket holds others beside
+               .withColumn("top", F.max(F.struct("copies", "node")).over(by_key)).filter("m > 1"))
+    # all buckets of one centre are one group
     pairs = written(buckets.filter(F.col("node") != F.col("top.node"))
-                    .groupBy(F.col("top.node").alias("centre"), "node")
-                    .agg(F.max(F.col("m") > 2).alias("more")), "join-pairs")
-    wanted = pairs.select(F.explode(F.array("centre", "node")).alias("node")).distinct()
-    reps = classes.join(wanted, "node", "left_semi").select("node", "least_id")
-    texts = (docs.select("id", "text")
-             .join(reps, F.col("id").eqNullSafe(F.col("least_id")))
-             .select("node", "text", F.xxhash64("text").alias("h"))
-             .dropDuplicates(["node", "h"]))
-    sets = written(_sets(texts, n), "join-sets")
-
-    checked = written(_verified(pairs.select("centre", "node"), sets, num, den), "join-checked")
-    links = checked.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    group = checked.join(pairs.filter("more"), ["centre", "node"], "left_semi").select(
-        F.col("centre").alias("grp"), "node", "linked", "prefix")
-    copies = classes.select("node", "copies")
-    comps, turn = components(links), 0
-    while True:
-        at = Window.partitionBy("grp", "element")
-        # members linked to the centre are in one component, and so are those found to be
-        part = F.coalesce("component", "node")
-        nested = (group.select("grp", "node", "linked", F.explode("prefix").alias("element"))
-                  .join(comps, "node", "left").join(copies, "node")
-                  .withColumn("part", F.when(F.col("linked"), F.lit(None)).otherwise(part))
-                  .withColumn("m", F.count(F.lit(1)).over(at))
-                  .withColumn("free", F.count("part").over(at))
-                  .withColumn("parts", F.min(part).over(at) != F.max(part).over(at))
-                  .withColumn("top", _centre((~F.col("linked")).alias("out"), "copies").over(at))
-                  .filter("m > 1 and free > 0 and parts")
-                  .filter(F.col("node") != F.col("top.node")))
-        nested = written(nested.select(
-            F.xxhash64("grp", "element").alias("grp"), F.col("top.node").alias("centre"),
-            "node", "m"), "join-nested")
-        if nested.isEmpty():
-            break
-        again = written(_verified(nested.select("centre", "node").distinct(), sets, num, den),
-                        "join-checked")
-        links = links.unionByName(again.filter("linked").select(
-            F.col("centre").alias("a"), F.col("node").alias("b")))
-        group = nested.filter("m > 2").join(again, ["centre", "node"]).select(
-            F.xxhash64("grp", "centre").alias("grp"), "node", "linked", "prefix")
-        turn += 1
-        if turn & (turn - 1) == 0:  # components only save work; now and then is enough
-            comps = components(links)
-    comps = components(links) if turn else comps
+                    .select(F.col("top.node").alias("grp"), "node").distinct(), "join-pairs")
+    sizes = classes.select("node", F.col("n_shingles").alias("n"))
+    members = written(
+        pairs.unionByName(pairs.select("grp", F.col("grp").alias("node")).distinct())
+        .join(sizes, "node").select("grp", "node", "n"), "join-members")
+    reps = written(classes.join(members.select("node").distinct(), "node", "left_semi")
+                   .select("node", "least_id"), "join-reps")
+    few = F.broadcast(reps) if reps.count() <= MAX_BROADCAST_ROWS else reps
+    texts = (docs.select("id", "text").join(few, F.col("id").eqNullSafe(F.col("least_id")))
+             .select("node", "text"))
+    # rows that repeat an id and text give the same set again
+    sets = _sets(texts, n).groupBy("node").agg(F.first("elements").alias("elements"))
+    comps = components(written(_links(members, sets, num, den), "join-links"))
 
     named = classes.join(comps, "node", "left").select(
         "node", "check", F.coalesce("component", "node").alias("component"), "least_id")
