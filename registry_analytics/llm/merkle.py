@@ -32,6 +32,7 @@ SECTION = 4
 # a word with the white space after it; white space at the start is a piece of its own
 _PIECE = re.compile(r"[^ \t\n\v\f\r]+[ \t\n\v\f\r]*|[ \t\n\v\f\r]+")
 _SLICE = 256
+_CACHE_PIECES = 500_000
 
 
 def _digest(kind: bytes, parts: list[bytes], n_chars: int) -> bytes:
@@ -39,7 +40,7 @@ def _digest(kind: bytes, parts: list[bytes], n_chars: int) -> bytes:
                            digest_size=16).digest()
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     """A node: its hash, first code point, length and children (none: a segment)."""
 
@@ -49,15 +50,31 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
 
+class _Ends(dict):
+    """Does a segment end at this piece? Remembered, since words repeat."""
+
+    def __missing__(self, piece: str) -> bool:
+        if len(self) > _CACHE_PIECES:
+            self.clear()
+        end = self[piece] = xxhash.xxh3_64_intdigest(piece.rstrip()) % CUT == 0
+        return end
+
+
+_ENDS_AT = _Ends()
+
+
 def _segments(line: str, start: int) -> list[Node]:
-    out, at, held = [], start, ""
+    out, at, held = [], start, []
     for piece in _PIECE.findall(line):
-        held += piece
-        if xxhash.xxh3_64_intdigest(piece.rstrip()) % CUT == 0:
-            out.append(Node(xxhash.xxh3_128_digest(held), at, len(held)))
-            at, held = at + len(held), ""
+        held.append(piece)
+        if _ENDS_AT[piece]:
+            text = "".join(held)
+            out.append(Node(xxhash.xxh3_128_digest(text), at, len(text)))
+            at += len(text)
+            held = []
     if held:
-        out.append(Node(xxhash.xxh3_128_digest(held), at, len(held)))
+        text = "".join(held)
+        out.append(Node(xxhash.xxh3_128_digest(text), at, len(text)))
     return out
 
 
@@ -66,11 +83,16 @@ def _parent(kind: bytes, children: list[Node], start: int) -> Node:
     return Node(_digest(kind, [c.hash for c in children], n), start, n, children)
 
 
-def tree(text: str) -> Node:
-    """The Merkle tree of a whole text; a line keeps its line feed."""
+def tree(text: str, known: dict | None = None) -> Node:
+    """The Merkle tree of a whole text; a line keeps its line feed. ``known`` collects the
+    paragraphs by place and line and saves those that another text has there too."""
     sections, paragraphs, at = [], [], 0
     for line in _lines(text):
-        paragraph = _parent(b"p", _segments(line, at), at)
+        paragraph = known.get((at, line)) if known is not None else None
+        if paragraph is None:
+            paragraph = _parent(b"p", _segments(line, at), at)
+            if known is not None:
+                known[at, line] = paragraph
         at += len(line)
         paragraphs.append(paragraph)
         if int.from_bytes(paragraph.hash[:4], "big") % SECTION == 0:
@@ -86,12 +108,16 @@ def _lines(text: str) -> list[str]:
     return [x + "\n" for x in cut[:-1]] + ([cut[-1]] if cut[-1] else [])
 
 
-def leaves(node: Node) -> Iterator[Node]:
-    if node.children:
-        for child in node.children:
-            yield from leaves(child)
-    elif node.n_chars:
-        yield node
+def leaves(root: Node) -> list[Node]:
+    """The segments of a tree in order."""
+    return [g for section in root.children for paragraph in section.children
+            for g in paragraph.children]
+
+
+def leaf_counts(root: Node) -> tuple[Counter, dict[bytes, int]]:
+    """Occurrences and code points of each segment."""
+    parts = leaves(root)
+    return Counter([g.hash for g in parts]), {g.hash: g.n_chars for g in parts}
 
 
 def edits(old: Node, new: Node) -> list[tuple[int, int]]:
@@ -114,16 +140,13 @@ def edits(old: Node, new: Node) -> list[tuple[int, int]]:
     return []
 
 
-def likeness(a: Node, b: Node) -> float:
-    """Share of code points in common segments, 0 to 1; two empty texts are alike."""
+def likeness(a: Node, b: Node, a_counts=None, b_counts=None) -> float:
+    """Share of code points in common segments, 0 to 1; two empty texts are alike.
+    ``leaf_counts`` of the trees may be given."""
     if a.hash == b.hash:
         return 1.0
-    sizes, left, right = {}, Counter(), Counter()
-    for counts, node in ((left, a), (right, b)):
-        for leaf in leaves(node):
-            counts[leaf.hash] += 1
-            sizes[leaf.hash] = leaf.n_chars
-    common = sum(n * sizes[h] for h, n in (left & right).items())
+    (left, sizes), (right, _) = a_counts or leaf_counts(a), b_counts or leaf_counts(b)
+    common = sum([min(left[h], right[h]) * sizes[h] for h in left.keys() & right.keys()])
     return 2.0 * common / (a.n_chars + b.n_chars)
 
 
@@ -167,13 +190,15 @@ _COMPARED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint strin
 _ENDS = "kind string, part int, " + _COMPARED + ", n_same long, text string"
 
 
-def _compare(doc_id, text: str, own: Node, following: str, nxt: Node) -> dict:
+def _compare(doc_id, text: str, own: Node, known: dict, counts, following: str, nxt: Node,
+             nxt_counts) -> dict:
     changed = edited_text(text, following)
-    root = tree(changed)
+    root = tree(changed, known)
     return {"doc_id": doc_id, "n_chars": len(text),
             "edited_sha256": hashlib.sha256(changed.encode()).hexdigest(),
             "fingerprint": own.hash.hex(), "edited_fingerprint": root.hash.hex(),
-            "near_edited": likeness(own, root), "near_next": likeness(own, nxt)}
+            "near_edited": likeness(own, root, counts),
+            "near_next": likeness(own, nxt, counts, nxt_counts)}
 
 
 def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +225,7 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                                              pa.string())) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # the document that waits for its follower: id, text, tree, repeats
+        before = None  # what waits for its follower: id, text, tree, paragraphs, counts, repeats
         part, out = None, []
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
@@ -212,19 +237,21 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         out.append({"kind": "first", "part": part, "doc_id": now[0],
                                     "text": now[1]})
                     elif before[:2] == now:
-                        before = (*before[:3], before[3] + 1)
+                        before = (*before[:5], before[5] + 1)
                         continue
-                    root = tree(now[1])
+                    known: dict = {}
+                    root = tree(now[1], known)
+                    counts = leaf_counts(root)
                     if before is not None:
-                        done = _compare(*before[:3], now[1], root)
-                        out += [{"kind": "done", **done}] * before[3]
-                    before = (*now, root, 1)
+                        done = _compare(*before[:5], now[1], root, counts)
+                        out += [{"kind": "done", **done}] * before[5]
+                    before = (*now, root, known, counts, 1)
                 yield pa.RecordBatch.from_pylist(out, arrow)
                 out = []
         if before is not None:
             yield pa.RecordBatch.from_pylist([{
                 "kind": "last", "part": part, "doc_id": before[0], "text": before[1],
-                "n_same": before[3]}], arrow)
+                "n_same": before[5]}], arrow)
 
     seen = written(parts.mapInArrow(run, schema), "merkle")
     # one first and one last row per task; the last follower is the very first document
@@ -246,8 +273,10 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "near_edited", "near_next")])
         for batch in batches:
             for row in batch.to_pylist():
-                done = _compare(row["doc_id"], row["text"], tree(row["text"]),
-                                row["following"], tree(row["following"]))
+                known: dict = {}
+                own, nxt = tree(row["text"], known), tree(row["following"])
+                done = _compare(row["doc_id"], row["text"], own, known, leaf_counts(own),
+                                row["following"], nxt, leaf_counts(nxt))
                 for _ in range(row["n_same"]):
                     yield pa.RecordBatch.from_pylist([done], final)
 
