@@ -114,6 +114,45 @@ def test_large_buckets_lose_no_link(spark):
     assert got == plain_dedup(docs, hashes)
 
 
+def varied_lines():
+    """Lines of 5 to 60 words, each followed by a variant of edit similarity >= 0.9: one word
+    replaced, or typos at random places up to a share of the edits allowed."""
+    rng = random.Random(31)
+    letters = "etaoinshrdlucmfwypvbgk"
+    vocabulary = ["".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(3000)]
+    out = []
+    while len(out) < 600:
+        n = rng.choice([5, 7, 10, 15, 20, 30, 40, 60])
+        words = rng.choices(vocabulary, k=n)
+        a, kind = " ".join(words), len(out) % 3
+        if kind == 0:
+            words[rng.randrange(n)] = rng.choice(vocabulary)
+            b = " ".join(words)
+        else:
+            b = list(a)
+            for i in rng.sample(range(len(a)), max(1, len(a) // (30 if kind == 1 else 15))):
+                b[i] = b[i] if b[i] == " " else rng.choice(letters)
+            b = "".join(b)
+        if a != b and edit_distance(a, b) <= math.floor(max(len(a), len(b)) * 0.1 + 1e-9):
+            out.append((("word", "few typos", "many typos")[kind], n, a, b))
+    return out
+
+
+def test_lines_of_edit_similarity_are_found(spark):
+    """Recall by edit similarity alone, without the operator's own hashes."""
+    pairs = varied_lines()
+    docs = [(2 * i + j, line) for i, p in enumerate(pairs) for j, line in enumerate(p[2:])]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert not any(got[2 * i] for i in range(len(pairs)))  # no two lines by chance
+    found = defaultdict(list)
+    for i, p in enumerate(pairs):
+        found[p[0]].append(got[2 * i + 1])
+    recall = {kind: sum(f) / len(f) for kind, f in found.items()}
+    assert recall["word"] > 0.99 and recall["few typos"] > 0.98
+    assert recall["many typos"] > 0.9
+
+
 def test_line_dedup_odd_rows(spark):
     docs = odd_documents()
     df = spark.createDataFrame(docs, SCHEMA).withColumnRenamed("source", "n_lines")
