@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import row_hash, written
 
 MATCH = 0.6
-# a line is looked at if it has a template word found in at most this share of documents
-RARE_SHARE = 0.1
+# share of documents above which a template word would be too common to look at: none is
+RARE_SHARE = 1.0
 
 # public notices of common licences
 TEMPLATES = {
@@ -63,6 +63,25 @@ def templates(spark: SparkSession, notices: dict[str, list[str]] | None = None)
             .groupBy("licence", "notice", "word").agg(F.count(F.lit(1)).alias("tf")))
 
 
+def needed_words(terms: list[tuple[str, int, str, float]], frequency: dict[str, int]) -> list[str]:
+    """Words of which every matching line holds at least one, from rows (licence, notice,
+    word, weight in the unit vector). A cosine is at most the length of the notice's vector
+    on the shared words, so words that together stay below ``MATCH`` cannot match by
+    themselves: of each notice the most frequent ones that do are left out."""
+    notices: dict[tuple[str, int], list[tuple[int, str, float]]] = {}
+    for licence, notice, word, weight in terms:
+        notices.setdefault((licence, notice), []).append((-frequency[word], word, weight))
+    needed: set[str] = set()
+    for rows in notices.values():
+        square = 0.0
+        for _, word, weight in sorted(rows):
+            square += weight * weight
+            # cosines are rounded to six digits
+            if square >= (MATCH - 1e-5) ** 2:
+                needed.add(word)
+    return sorted(needed)
+
+
 def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text",
          notices: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per row of ``df``: ``id_col``, ``path``, ``licence`` and how it was found
@@ -94,23 +113,23 @@ def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "t
             "word", F.coalesce("count", F.lit(0)).alias("df"),
             (F.log((total + 1) / (F.coalesce("count", F.lit(0)) + 1)) + 1).alias("idf")),
         "licence-idf")
-    rare = [r.word for r in idf.filter(F.col("df") <= RARE_SHARE * total)
-            .select("word").collect()]  # at most the template words
-    rare = F.array(*[F.lit(w) for w in rare]).cast("array<string>")
-
     weighted = terms.join(idf, "word").withColumn("w", F.col("tf") * F.col("idf"))
     norm = weighted.groupBy("licence", "notice").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     weighted = written(weighted.join(norm, ["licence", "notice"]).select(
         "licence", "notice", "word", (F.col("w") / F.col("t_norm")).alias("t_weight")),
         "licence-weights")
+    # at most the template words
+    frequency = {r.word: r.df for r in idf.select("word", "df").collect()}
+    needed = F.array(*[F.lit(w) for w in needed_words(
+        [tuple(r) for r in weighted.collect()], frequency)]).cast("array<string>")
 
-    likely = seen.filter(F.arrays_overlap("known", rare))
+    likely = seen.filter(F.arrays_overlap("known", needed))
     units = likely.select("id", "rid", F.posexplode(
         F.concat(F.array("text"), F.split("text", "\n", -1))).alias("unit", "line"))
     units = (units.select("id", "rid", (F.col("unit") - 1).alias("unit"),
                           words(F.col("line")).alias("words"))
-             .filter(F.arrays_overlap("words", rare)).dropDuplicates(["rid", "unit"]))
+             .filter(F.arrays_overlap("words", needed)).dropDuplicates(["rid", "unit"]))
     tf = units.select("rid", "id", "unit", F.explode("words").alias("word")) \
         .groupBy("rid", "id", "unit", "word").agg(F.count(F.lit(1)).alias("tf"))
     # words of no template weigh as if one document had them

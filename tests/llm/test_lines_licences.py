@@ -221,6 +221,19 @@ def test_licence_scan_equals_brute_force(spark):
     assert got[100].via == "header" and got[101].via == "file" and got[106].licence is None
 
 
+@pytest.mark.parametrize("n_plain,n_mit", [(2, 1), (10, 2), (40, 30)])
+def test_common_notices_are_found(spark, n_plain, n_mit):
+    """Small tables, and a notice that a large share of all documents carries."""
+    docs = [(i, f"w{i} the work of w{i + 1}") for i in range(n_plain)]
+    docs += [(100 + i, f"x{i} of\nReleased under the MIT License.\ny{i}") for i in range(n_mit)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.licence, r.notice_line) for r in license_scan.scan(
+        df, F.lit(None).cast("string")).collect()}
+    assert got == {d: ("MIT", 1) if d >= 100 else (None, None) for d, _ in docs}
+    assert {d: w and (w[0], w[2]) for d, w in plain_scan(docs).items()} == {
+        d: None if v[0] is None else v for d, v in got.items()}
+
+
 def test_licences_are_inherited_from_the_nearest_directory(spark):
     mit, apache = "Released under the MIT License.", "Licensed under CC BY-NC 4.0."
     rows = [(1, mit, "p/LICENSE"), (2, "w1 w2", "p/a.txt"), (3, "w3", "p/x/y/b.txt"),
