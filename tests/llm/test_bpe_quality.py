@@ -108,6 +108,23 @@ def test_bands_reject_noise_and_keep_text(spark):
     assert share[1] > 0.97 and share[0] < 0.6
 
 
+def test_bands_do_not_depend_on_other_languages(spark):
+    """A small language keeps its band however large the rest is; below the least count its
+    documents are not judged by the band of another."""
+    def table(lang, n, chars):
+        return spark.range(n).select(
+            F.lit(lang).alias("lang"), F.lit(100).cast("long").alias("n_words"),
+            F.lit(0).cast("long").alias("n_repeat_words"), F.lit(150).cast("long").alias("n_tokens"),
+            (F.lit(chars) + F.col("id") % 5 / 100).alias("chars_per_token"),
+            F.lit(0.0).alias("byte_share"), F.lit(5.0).alias("token_entropy"))
+
+    df = table("en", 700_000, 4.0).unionByName(table("am", 60, 1.5)) \
+        .unionByName(table("am", 1, 4.0)).unionByName(table("dv", 20, 1.2))
+    got = {tuple(r)[:2]: r["count"] for r in quality.judge(df).filter("kept").groupBy(
+        "lang", (F.col("chars_per_token") > 3).alias("long")).count().collect()}
+    assert got == {("en", True): 700_000, ("am", False): 60, ("dv", False): 20}
+
+
 def test_measures_against_plain_version(spark):
     import math
     from collections import Counter
