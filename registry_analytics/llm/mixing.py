@@ -76,23 +76,67 @@ def _keyed(df: DataFrame, source_col: str, size_col: str, seed: int, buckets: in
     ).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
 
 
-def _add_extra(state: DataFrame, placed: DataFrame, buckets: DataFrame, last: bool) -> DataFrame:
-    """One more row for each source that misses words: the largest one that fits, or in the
-    last turn the one that comes nearest, over or under."""
+def _next_run(state: DataFrame, placed: DataFrame) -> DataFrame:
+    """Of each source the rows behind ``at`` that are not above what is missing, in order
+    while they fit together: ``src``, ``bucket``, ``place``, ``size``, ``nth`` (from 0). Rows
+    before ``at`` are taken or larger than what was missing then, and so never fit again."""
     key = ["src", "bucket"]
-    free = (placed.filter(~F.col("fits") & (F.col("size") > 0))
-            .join(buckets.select(*key).join(state.select("src", "missing", "extras"), "src"), key)
-            .filter(~F.array_contains("extras", F.col("place"))))
-    off = F.abs(F.col("size") - F.col("missing"))
-    fitting = off < F.col("missing") if last else F.col("size") <= F.col("missing")
-    best = (free.filter(fitting).groupBy("src")
-            .agg(F.min(F.struct(off.alias("off"), "place", "size")).alias("best")))
-    taken = F.col("best").isNotNull()
-    return (state.join(best, "src", "left")
-            .withColumn("extras", F.when(taken, F.array_append("extras", F.col("best.place")))
-                        .otherwise(F.col("extras")))
-            .withColumn("missing", F.when(taken, F.col("missing") - F.col("best.size"))
-                        .otherwise(F.col("missing"))).drop("best"))
+    seek = F.broadcast(state.select("src", "missing", "at"))  # one row per source
+    free = written(
+        placed.filter(F.col("size") > 0).select(*key, "place", "size").join(seek, "src")
+        .filter((F.col("place") > F.col("at")) & (F.col("size") <= F.col("missing"))), "mix-free")
+    ahead = Window.partitionBy("src").orderBy("bucket").rowsBetween(
+        Window.unboundedPreceding, -1)
+    before = free.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w")).select(
+        *key, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"),
+        F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("w0"))
+    local = Window.partitionBy(*key).orderBy("place")
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    return (free.join(before, key)
+            .withColumn("nth", F.col("n0") + F.row_number().over(local) - 1)
+            .withColumn("end", F.col("w0") + F.sum("size").over(upto))
+            .filter(F.col("end") <= F.col("missing")).select(*key, "place", "size", "nth"))
+
+
+def _advance(state: DataFrame, run: DataFrame) -> DataFrame:
+    """``state`` after the rows of ``run``."""
+    got = run.groupBy("src").agg(F.sum("size").alias("g"), F.count(F.lit(1)).alias("c"),
+                                 F.max("place").alias("p"))
+    return state.join(got, "src", "left").withColumns({
+        "missing": F.col("missing") - F.coalesce("g", F.lit(0)),
+        "taken": F.col("taken") + F.coalesce("c", F.lit(0)),
+        "at": F.greatest("at", F.coalesce("p", F.lit(-1)))}).drop("g", "c", "p")
+
+
+def _fill(state: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the partial round behind its first prefix: runs that fit until no row fits,
+    then of each source one row if it brings the source nearer to its target. Returns the
+    state and ``src``, ``bucket``, ``place``, ``seat`` of these rows.
+
+    Each run takes a row if one fits, and ends before a row larger than what it leaves, so
+    what is missing falls below the size of a row that was met at random."""
+    key = ["src", "bucket"]
+    extra = None
+    while True:
+        run = written(_next_run(state, placed).join(
+            F.broadcast(state.select("src", "taken")), "src").select(
+            *key, "place", "size", (F.col("taken") + F.col("nth")).alias("seat")), "mix-run")
+        if extra is not None and run.isEmpty():
+            break
+        extra = run if extra is None else extra.unionByName(run)
+        state = written(_advance(state, run), "mix-quotas")
+    # every free row is larger than what is missing now
+    off = F.col("size") - F.col("missing")
+    free = placed.filter(~F.col("fits") & (F.col("size") > 0)).select(*key, "place", "size").join(
+        F.broadcast(state.select("src", "missing", "taken")), "src").filter(
+        (off > 0) & (off < F.col("missing"))).join(extra.select(*key, "place"),
+                                                   [*key, "place"], "left_anti")
+    best = free.groupBy("src").agg(F.min(F.struct(
+        off.alias("off"), "place", "bucket", "size", "taken")).alias("b"))
+    last = written(best.select("src", "b.bucket", "b.place", "b.size",
+                               F.col("b.taken").alias("seat")), "mix-run")
+    return (written(_advance(state, last), "mix-quotas"),
+            written(extra.unionByName(last).drop("size"), "mix-extra"))
 
 
 def draw(df: DataFrame, n_shards: int = 8, source_col: str = "source", size_col: str = "size",
@@ -102,8 +146,9 @@ def draw(df: DataFrame, n_shards: int = 8, source_col: str = "source", size_col:
     Returns ``row`` (the input row), ``size``, ``source_size``, ``target``, ``copies long``,
     ``chunks array<int>`` (the chunk of each copy), ``h2``, ``total`` (copies in the mix)
     and ``chunks_per_shard``. A source takes ``floor(target / words)`` whole rounds; in the
-    last, partial round it takes rows in random order while they fit and then up to three
-    more that bring it nearest to its target. No row is taken more than ``max_repeat``
+    last, partial round it takes rows in random order while they fit, goes on behind the row
+    that did not until no row is left that fits, and then takes one more if that brings it
+    nearer to its target. No row is taken more than ``max_repeat``
     times. A NULL source is a source of its own, sorted last; NULL or negative sizes count
     as 0, and such rows are taken in every round their place falls into, without
     changing any sum. Wholly equal rows are separate rows. An empty frame stays empty.
@@ -139,16 +184,15 @@ def draw(df: DataFrame, n_shards: int = 8, source_col: str = "source", size_col:
                 (F.col("w0") + F.sum("size").over(upto)).alias("end"), "rest")
         .withColumn("fits", F.col("end") <= F.col("rest")).drop("rest"), "mix-placed")
 
-    # the partial round: rows that fit, then the one that comes nearest to what is missing
+    # the partial round: rows that fit, run by run, then one that comes nearer
     fit = placed.groupBy("src").agg(F.max(F.when(F.col("fits"), F.col("end"))).alias("got"),
                                     F.count_if("fits").alias("n_fit"))
     state = sources.join(fit, "src").withColumn(
         "missing", F.col("rest") - F.coalesce("got", F.lit(0)))
-    state = state.withColumn("extras", F.array().cast("array<long>"))
-    for last in (False, False, True):
-        state = written(_add_extra(state, placed, buckets, last), "mix-quotas")
-    quotas = state.withColumn("quota", F.col("rounds") * F.col("rows") + F.col("n_fit")
-                              + F.size("extras"))
+    state = written(state.withColumn("taken", F.col("n_fit")).withColumn(
+        "at", F.col("n_fit") - 1), "mix-quotas")
+    state, extra = _fill(state, placed)
+    quotas = state.withColumn("quota", F.col("rounds") * F.col("rows") + F.col("taken"))
 
     # quotas into chunks: one tree over all sources
     chunks = max(1, math.ceil(4 * parts / n_shards))
@@ -164,14 +208,14 @@ def draw(df: DataFrame, n_shards: int = 8, source_col: str = "source", size_col:
             .agg(F.sort_array(F.collect_list(F.struct("leaf", "n"))).alias("by_leaf"))
             .select("src_ix", "total",
                     running(F.transform("by_leaf", lambda x: x["n"])).alias("ends")))
-    plan = quotas.select("src", "src_ix", "words", "rows", "target", "rounds", "n_fit", "extras")
+    plan = quotas.select("src", "src_ix", "words", "rows", "target", "rounds")
     plan = buckets.select(*key).join(plan.join(ends, "src_ix"), "src")
 
-    nth = F.array_position("extras", F.col("place"))
-    picked = F.col("fits") | (nth > 0)
+    picked = F.col("fits") | F.col("extra").isNotNull()
     copies = (F.col("rounds") + picked.cast("long")).alias("copies")
-    seat = F.when(F.col("fits"), F.col("place")).otherwise(F.col("n_fit") + nth - 1)
-    df = placed.join(plan, key).select(
+    seat = F.when(F.col("fits"), F.col("place")).otherwise(F.col("extra"))
+    df = placed.join(extra.withColumnRenamed("seat", "extra"), [*key, "place"], "left")
+    df = df.join(plan, key).select(
         "row", "size", F.col("words").alias("source_size"), "target", copies, "h2", "total",
         "ends", "rounds", "rows", "place", seat.alias("seat"))
     block = F.when(F.col("copies") > 0, F.transform(

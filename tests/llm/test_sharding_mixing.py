@@ -103,6 +103,29 @@ def test_mix_meets_targets(spark):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, drawn(spark, docs)), key=str)
 
 
+def test_mix_fills_up_behind_a_very_long_document(spark):
+    """One document holds a third of each source's words: it overflows the rest in most
+    orders, and many normal documents must fill what it leaves."""
+    rng = np.random.default_rng(5)
+    rows = [(s * 1000 + i, f"s{s}", int(n)) for s in range(12)
+            for i, n in enumerate([*rng.integers(100, 600, 200), 35_000])]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    weights = tuple([3, 7] * 6)  # targets of 0.6 and 1.4 of a source
+    got = mixing.draw(df, 4, weights=weights).select(
+        "row.source", "size", "target", "copies", F.size("chunks").alias("n")).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        assert r.n == r.copies
+        taken[r.source] += r.copies * r.size
+        target[r.source] = r.target
+    assert max(abs(taken[s] - target[s]) / target[s] for s in target) < 0.002
+    assert len({round(t / 105_000, 1) for t in target.values()}) > 1
+    chunks = mixing.mix(df, 4, weights=weights).groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n"), F.max("slot").alias("last")).collect()
+    assert all(r.n == r.last + 1 for r in chunks) and sum(r.n for r in chunks) == sum(
+        r.copies for r in got)
+
+
 def test_mix_rows_match_the_draw(spark):
     docs = random_documents(120)
     df = spark.createDataFrame(docs, SCHEMA).withColumn("shard", F.lit("old")) \
