@@ -99,9 +99,17 @@ def _ssn(match: str, key: bytes) -> str | None:
     return _refill(match, digits)
 
 
+# country codes of two digits; 1 and 7 have one, all others three
+_TWO = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 "
+           "62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _phone(match: str, key: bytes) -> str | None:
     digits = _digits(match)
-    country, own = digits[:-10], digits[-10:]
+    at = len(digits) - 10
+    if match[0] == "+":
+        at = 1 if digits[0] in "17" else 2 if digits[:2] in _TWO else 3
+    country, own = digits[:at], digits[at:]
     return _refill(match, country + _permute_digits(own, key, b"phone"))
 
 
@@ -178,15 +186,19 @@ def _shift_day(y: int, m: int, d: int, key: bytes) -> datetime.date | None:
 
 
 def _date(match: str, key: bytes) -> str | None:
-    a, b, c = (int(x) for x in re.split(r"\D", match))
-    if len(match.split(match[4] if match[4] in "-/." else match[2])[0]) == 4:
+    parts = re.split(r"\D", match)
+    a, b, c = map(int, parts)
+    sep = match[len(parts[0])]
+    # one-digit days or months: written without leading zeros
+    w = 1 if min(map(len, parts)) == 1 else 2
+    if len(parts[0]) == 4:
         new = _shift_day(a, b, c, key)
-        return new and f"{new.year:04d}{match[4]}{new.month:02d}{match[4]}{new.day:02d}"
+        return new and f"{new.year:04d}{sep}{new.month:0{w}d}{sep}{new.day:0{w}d}"
     new = _shift_day(c, b, a, key) if b <= 12 else None
     if new:  # day first
-        return f"{new.day:02d}{match[2]}{new.month:02d}{match[2]}{new.year:04d}"
+        return f"{new.day:0{w}d}{sep}{new.month:0{w}d}{sep}{new.year:04d}"
     new = _shift_day(c, a, b, key)
-    return new and f"{new.month:02d}{match[2]}{new.day:02d}{match[2]}{new.year:04d}"
+    return new and f"{new.month:0{w}d}{sep}{new.day:0{w}d}{sep}{new.year:04d}"
 
 
 # kinds in order of preference at one place
@@ -194,11 +206,11 @@ KINDS = {
     "email": (r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
               _email),
     "iban": (r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)", _iban),
-    "date": (r"(?<![\w.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w-])",
-             _date),
+    "date": (r"(?<![\w.-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})"
+             r"(?:(?=T\d\d:?\d\d)|(?![\w-]))", _date),
     "ip": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ip),
-    "phone": (r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w)",
-              _phone),
+    "phone": (r"(?<![\w+])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[.-]\d{4}"
+              r"|\+[1-9](?:[ .()-]{0,2}\d){7,14})(?!\w)", _phone),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     "card": (r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
     "key": (r"(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)", _secret),
@@ -216,17 +228,22 @@ def pseudonymise(text: str, key: bytes = KEY, cache: dict | None = None
     found: list[tuple[int, int, str, str]] = []
     for kind, pattern, work in _PATTERNS:
         for m in pattern.finditer(text):
-            if any(m.start() < e and s < m.end() for s, e, _, _ in found):
-                continue
-            value = (kind, m.group())
-            if cache is not None and value in cache:
-                new = cache[value]
-            else:
-                new = work(m.group(), key)
-                if cache is not None:
-                    cache[value] = new
-            if new is not None:
-                found.append((m.start(), m.end(), kind, new))
+            ends = [m.end()]
+            if kind == "card":  # other digits may follow: shorter runs up to a separator
+                ends += [i for i in range(m.end() - 1, m.start(), -1) if text[i] in " -"]
+            for end in ends:
+                if any(m.start() < e and s < end for s, e, _, _ in found):
+                    continue
+                value = (kind, text[m.start():end])
+                if cache is not None and value in cache:
+                    new = cache[value]
+                else:
+                    new = work(value[1], key)
+                    if cache is not None:
+                        cache[value] = new
+                if new is not None:
+                    found.append((m.start(), end, kind, new))
+                    break
     found.sort()
     out, spans, at, size = [], [], 0, 0
     for start, end, kind, new in found:

@@ -101,6 +101,19 @@ def test_pseudonyms_keep_the_format(value):
     assert pii.pseudonymise(a)[1]  # still valid in its format
 
 
+@pytest.mark.parametrize("text,value,kind", [
+    ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111", "card"),
+    ("4111 1111 1111 1111 123", "4111 1111 1111 1111", "card"),
+    ("2023-04-05T12:00:00Z", "2023-04-05", "date"), ("on 2023-4-5 at", "2023-4-5", "date"),
+    ("am 5.4.2023 um", "5.4.2023", "date"), ("+49 30 1234567", "+49 30 1234567", "phone"),
+    ("+442079460958", "+442079460958", "phone")])
+def test_values_in_further_spellings(text, value, kind):
+    new, spans = pii.pseudonymise(text)
+    assert [k for k, _, _ in spans] == [kind] and value not in new
+    before, after = text.split(value)
+    assert new.startswith(before) and new.endswith(after)
+
+
 INVALID = ["4845168114407328", "9807915762804490", "300.1.2.3", "2021-02-30", "000-12-3456",
            "DE88 3704 0044 0532 0130 00", "12345", "1850-01-01"]
 
