@@ -4,7 +4,8 @@ Every line of a text, and the text as a whole, is a sparse TF-IDF vector over th
 licence templates; words that no template has share one dimension each with the weight of
 a word seen in one document. Document frequencies come from all documents. A line whose
 cosine to a template reaches ``MATCH`` is a licence header of its document; a text whose
-whole vector does is a licence file. Documents without a header inherit the licence of the
+whole vector does is a licence file, and so is a file with a matching line whose name says
+so (``FILE_NAME``): full licence texts hold their notice as a line. Documents without a header inherit the licence of the
 nearest ancestor directory that holds a licence file, by joins on directory paths.
 """
 
@@ -21,6 +22,8 @@ MATCH = 0.6
 # share of documents above which a template word would be too common to look at: none is
 RARE_SHARE = 1.0
 
+FILE_NAME = r"(?i)(^|/)(un)?(licen[cs]es?|copying)([._-][^/]*)?$"
+
 # public notices of common licences
 TEMPLATES = {
     "MIT": ["Released under the MIT License.",
@@ -148,7 +151,9 @@ def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "t
     top = written(scored.withColumn("nth", F.row_number().over(ranked)).filter("nth = 1")
                   .select("rid", "licence", "cosine", F.col("unit").alias("notice_line")),
                   "licence-headers")
-    files = scored.filter("unit = -1").withColumn(
+    named = df.filter(path.rlike(FILE_NAME)).select(rid, F.lit(True).alias("named")).distinct()
+    files = scored.join(named, "rid", "left").filter(
+        (F.col("unit") == -1) | F.col("named")).withColumn(
         "nth", F.row_number().over(ranked)).filter("nth = 1").select(
         "rid", F.col("licence").alias("file_licence"), F.col("cosine").alias("file_cosine"))
 

@@ -248,6 +248,35 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     assert got[5] == got[7] == got[8] == (None, None, None)
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+
+
+def test_full_licence_texts_are_inherited(spark):
+    rows = [(1, MIT_TEXT, "p/LICENSE.txt"), (2, "w1 w2", "p/x/a.txt"),
+            (3, MIT_TEXT, "q/notes.txt"), (4, "w3 w4", "q/b.txt")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = {r.doc_id: (r.licence, r.via, r.from_dir) for r in license_scan.scan(
+        df, F.col("path")).collect()}
+    assert got[2] == ("MIT", "inherited", "p") and got[1][0] == got[3][0] == "MIT"
+    assert got[4] == (None, None, None)
+
+
 def test_licence_scan_odd_rows(spark):
     df = spark.createDataFrame(odd_documents(), SCHEMA).withColumnRenamed("source", "licence")
     got = license_scan.scan(df, F.col("licence"))
