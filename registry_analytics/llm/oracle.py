@@ -77,4 +77,50 @@ FROM over JOIN leaves USING (tree, pos), (SELECT h FROM upper_levels WHERE n = 1
 WHERE over.n = 1
 """
 
-ORACLE: dict[str, str] = {"op13_manifest": MANIFEST}
+# near words meet in what is left when one code point goes: two words of equal length with
+# one left over in the same place, or the longer one without it and the shorter one
+SPELLING = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-z\u00C0-\u00FF]+')) AS run
+  FROM documents),
+counted AS (
+  SELECT id, run, count(*) AS k FROM runs WHERE length(run) >= 6 GROUP BY id, run),
+hashed AS (
+  SELECT run, k, {_crc32("id || ':' || run")} AS h FROM counted, crc_table),
+words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run))
+      || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+short AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM short a JOIN short b USING (i, rest)
+  WHERE a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM short a JOIN words b ON a.rest = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM short a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, near AS form, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+    row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS place
+  FROM near),
+forms AS (
+  SELECT w.word, CASE WHEN b.near_n >= 5 * w.n THEN b.form END AS form, w.n,
+    coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 5 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND b.place = 1),
+walk AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL
+  SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.at
+  WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM forms f JOIN walk ON walk.word = f.word JOIN forms g ON g.word = walk.at
+WHERE g.form IS NULL
+"""
+
+ORACLE: dict[str, str] = {"op12_spelling": SPELLING, "op13_manifest": MANIFEST}

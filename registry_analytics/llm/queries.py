@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bpe, license_scan, line_dedup, manifest, merkle, mixing, ngram_join, oracle, pii,
-               quality, sharding, toxicity)
+               quality, sharding, spelling, toxicity)
 from .common import documents, written
 
 N_SHARDS = 8
@@ -94,6 +94,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(documents(spark, sf_dir))
 
@@ -102,7 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
         op1_sharding, op2_mixing, op3_license_scan, op4_toxicity, op5_quality, op6_pseudonyms,
         op7_merkle, op8_ngram_join, op9_line_dedup, op10_byte_bpe,
-        op13_manifest)}
+        op12_spelling, op13_manifest)}
 
 # Hash-driven draws, tokenizers, trained models and graph closures are no SQL; tests/llm
 # compares the other queries with brute-force versions.
