@@ -201,26 +201,28 @@ def roots(stored: list[DataFrame]) -> DataFrame:
 
 def _paths(leaves: DataFrame, blocks: DataFrame, columns: str) -> DataFrame:
     """``leaves`` (``tree``, ``block``, ``pos`` and others, without the block's) with ``path``: the
-    siblings in their block (a row of ``blocks``), then the block's own ``path``."""
+    siblings in their block (a row of ``blocks``), then the block's own ``path``; and ``top``, as
+    the block has it."""
     kept = [c for c in leaves.columns if c != "block"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         height, n = (right.column(c)[0].as_py() for c in ("height", "n_leaves"))
-        nodes, above = (right.column(c)[0].as_py() for c in ("nodes", "path"))
+        nodes, above, top = (right.column(c)[0].as_py() for c in ("nodes", "path", "top"))
         mask = (1 << BLOCK_HEIGHT) - 1
         paths = [siblings(nodes, height, n, p & mask) + above
                  for p in left.column("pos").to_pylist()]
-        return left.select(kept).append_column("path", pa.array(paths, pa.list_(pa.string())))
+        return (left.select(kept).append_column("path", pa.array(paths, pa.list_(pa.string())))
+                .append_column("top", pa.array([top] * left.num_rows, pa.string())))
 
     return (leaves.groupBy("tree", "block").cogroup(blocks.groupBy("tree", "block"))
-            .applyInArrow(run, f"{columns}, path array<string>"))
+            .applyInArrow(run, f"{columns}, path array<string>, top string"))
 
 
 def proofs(leaves: DataFrame, stored: list[DataFrame], tops: DataFrame, columns: str,
            label: str) -> DataFrame:
-    """``leaves`` with ``path``, the siblings from the leaf to the root of the whole. ``tops``:
-    ``tree``, ``path`` (the siblings above the tree's own root). ``columns``: the schema of
-    ``leaves``."""
+    """``leaves`` with ``path``, the siblings from the leaf to the root of the whole, and ``top``.
+    ``tops``: ``tree``, ``path`` (the siblings above the tree's own root), ``top`` (a string that
+    all leaves of the tree get). ``columns``: the schema of ``leaves``."""
     above = None
     for i, layer in reversed(list(enumerate(stored))):
         own = layer.select("tree", "block", "height", "n_leaves", "nodes")
@@ -233,7 +235,8 @@ def proofs(leaves: DataFrame, stored: list[DataFrame], tops: DataFrame, columns:
             return _paths(leaves.select("*", cut), ends, columns)
         below = stored[i - 1].filter("n > 1").select("tree", F.col("block").alias("pos"), cut)
         above = written(_paths(below, ends, "tree string, pos long")
-                        .select("tree", F.col("pos").alias("block"), "path"), f"{label}-path{i}")
+                        .select("tree", F.col("pos").alias("block"), "path", "top"),
+                        f"{label}-path{i}")
     raise ValueError("a manifest has a layer at least")
 
 
@@ -270,15 +273,16 @@ def manifest(df: DataFrame) -> DataFrame:
                  "tree", ["name"], "manifest-top"), "manifest-top")
     over = layers(whole.select("tree", "pos", "n", F.col("subroot").alias("leaf")),
                   "manifest-top")
-    start = df.sparkSession.range(1).select(
-        F.lit("").alias("tree"), F.array().cast("array<string>").alias("path"))
-    tops = written(proofs(whole.select("tree", "pos", "name", "subroot"), over, start,
-                          "tree string, pos long, name string, subroot string", "manifest-top"),
+    start = written(df.sparkSession.range(1).select(
+        F.lit("").alias("tree"), F.array().cast("array<string>").alias("path"),
+        F.lit("").alias("top")), "manifest-start")
+    tops = proofs(whole.select("tree", "pos", "name", "subroot"), over, start,
+                  "tree string, pos long, name string, subroot string", "manifest-top")
+    # the subroot goes down with the path: no join of all rows by their language
+    tops = written(tops.select(F.col("name").alias("tree"), "path", F.col("subroot").alias("top")),
                    "manifest-tops")
     root = roots(over).select("root")
-    path = written(tops.select(F.col("name").alias("tree"), "path"), "manifest-above")
-
-    proven = proofs(leaves.select("doc_id", "lang", "tree", "pos", "leaf", "other"), stored, path,
+    proven = proofs(leaves.select("doc_id", "lang", "tree", "pos", "leaf", "other"), stored, tops,
                     "doc_id long, lang string, tree string, pos long, leaf string, other string",
                     "manifest")
 
@@ -290,14 +294,14 @@ def manifest(df: DataFrame) -> DataFrame:
                 proof.append(hashlib.sha256("".join(s[1:] for s in path).encode()).hexdigest())
                 folded.append(fold(other or leaf, path))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc_id", "lang", "tree", "pos", "leaf")]
+                [batch.column(c) for c in ("doc_id", "lang", "pos", "leaf", "top")]
                 + [pa.array(proof, pa.string()), pa.array(folded, pa.string())],
-                names=["doc_id", "lang", "tree", "pos", "leaf", "proof_sha256", "folded_root"])
+                names=["doc_id", "lang", "pos", "leaf", "subroot", "proof_sha256", "folded_root"])
 
     checked = proven.mapInArrow(
-        run, "doc_id long, lang string, tree string, pos long, leaf string, "
+        run, "doc_id long, lang string, pos long, leaf string, subroot string, "
              "proof_sha256 string, folded_root string")
-    return (checked.join(subroots, "tree").withColumn("root", root.scalar())
+    return (checked.withColumn("root", root.scalar())
             .withColumn("verified", F.col("folded_root") == F.col("root"))
             .select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified",
                     "lang", "pos"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, license_scan, line_dedup, manifest, merkle, mixing, ngram_join, oracle, pii,
-               quality, sharding, spelling, toxicity)
+from . import (bpe, license_scan, line_dedup, line_quality, manifest, merkle, mixing,
+               ngram_join, oracle, pii, quality, sharding, spelling, toxicity)
 from .common import documents, written
 
 N_SHARDS = 8
@@ -94,6 +94,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return line_quality.score(documents(spark, sf_dir), labels)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -106,7 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
         op1_sharding, op2_mixing, op3_license_scan, op4_toxicity, op5_quality, op6_pseudonyms,
         op7_merkle, op8_ngram_join, op9_line_dedup, op10_byte_bpe,
-        op12_spelling, op13_manifest)}
+        op11_line_quality, op12_spelling, op13_manifest)}
 
 # Hash-driven draws, tokenizers, trained models and graph closures are no SQL; tests/llm
 # compares the other queries with brute-force versions.
