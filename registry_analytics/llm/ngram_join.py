@@ -12,13 +12,18 @@ differ in at most x (1 - t) / t elements.
    little; a sketch with at most K of them is joined on its other parts only, which
    still include an agreeing one. Other sketches are joined on all parts. A set is
    sketched for its own band and, if a linked set can lie in the band below, for that.
-3. Equal sets are one class. Classes that share a part value form a bucket; all buckets with
-   the same centre (the member with most copies, then the largest hash) are one group. So
-   a linked pair lies together in some group.
-4. A group is dealt into blocks of bounded size. For every pair of blocks one task counts
-   all intersections exactly, by a product of incidence matrices, and returns a spanning
-   forest of the links it finds: at most one row per member, never all pairs. Components
-   of the forests are the components of the links.
+3. Equal sets are one class. Classes that share a part value form a bucket; all buckets of a
+   band with the same centre (the member with most copies, then the largest hash) are one
+   group. So a linked pair lies together in some group, and a group has sketches of one
+   shape.
+4. A group is dealt into blocks of bounded size. For every pair of blocks one task compares
+   the sketches and returns a spanning forest of the pairs whose Hamming distance does not
+   rule a link out: at most one row per member, never all pairs. A sketch has about a ninth
+   of its set's size, so sets are only read for the few that are left.
+5. The edges of the forests are verified on the sets. If all hold, their components are those
+   of the links. Where one fails, the forest may have stood for other links: the members of
+   such a component are compared once more in their groups, now on the sets, by a product
+   of incidence matrices.
 
 Buckets, groups and blocks have no cap and nothing is dropped. A group of m members costs
 about m squared / block size rows to deal out; exact copies do not count as members.
@@ -37,35 +42,23 @@ from pyspark.sql import types as T
 
 from .common import ship_code, written
 from .components import components
+from .hashing import GOLDEN, Hashes, lists, mixed
 
 # a block has about so many members and elements at most
 BLOCK_NODES = 256
 BLOCK_ELEMENTS = 400_000
+# the same for blocks of sketches
+SKETCH_NODES = 1024
+SKETCH_ELEMENTS = 2_000_000
 # representatives of candidate classes (two numbers each) that may be broadcast; more are
 # joined by a shuffle
 MAX_BROADCAST_ROWS = 1_000_000
 _COLUMNS = 4096
 _SLICE = 512
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _CACHE_WORDS = 600_000
 _ADDED = ("n_shingles", "class_id", "component", "component_id")
 
 
-class _Hashes(dict):
-    """64-bit hash of a word, computed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    x = (x ^ (x >> np.uint64(29))) * _MIX2
-    return x ^ (x >> np.uint64(32))
-
-
 def shingles(text: str, n: int, hashes: dict) -> np.ndarray:
     """Sorted distinct hashes of the n-grams of words; fewer words than n are one n-gram.
     A-Z are lower-cased, words end at ASCII white space."""
@@ -76,7 +69,7 @@ def shingles(text: str, n: int, hashes: dict) -> np.ndarray:
     width = min(n, len(words))
     out = np.full(len(words) - width + 1, width, np.uint64)
     for i in range(width):
-        out = _mixed(out * _MIX + h[i:i + len(out)])
+        out = mixed(out * GOLDEN + h[i:i + len(out)])
     return np.unique(out)
 
 
@@ -119,22 +112,20 @@ def sketch(elements: np.ndarray, n_parts: int) -> np.ndarray:
     return parts
 
 
-def part_keys(elements: np.ndarray, bands: Bands) -> np.ndarray:
-    """Join keys: hashes of (band, part, value)."""
+def sketches_of(elements: np.ndarray, bands: Bands) -> list[tuple[int, bool, np.ndarray]]:
+    """Band, whether parts without a set bit are joined too, and the sketch, for the own
+    band of a set and for the one below if a linked set can lie there."""
     size = len(elements)
     own = bands.of(size)
     out = []
     for band in (own, own - 1) if bands.reaches_below(size, own) else (own,):
         n_parts, spare = bands.shape(band)
         parts = sketch(elements, n_parts)
-        place = np.arange(n_parts, dtype=np.uint64) + np.uint64(band << 40)
-        keys = _mixed(_mixed(parts + _MIX) + place)
-        filled = parts != 0
-        out.append(keys[filled] if n_parts - int(filled.sum()) <= spare else keys)
-    return np.concatenate(out)
+        out.append((band, n_parts - int((parts != 0).sum()) > spare, parts))
+    return out
 
 
-_HASHES = _Hashes()
+_HASHES = Hashes()
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,18 +139,21 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _longs(values: list[np.ndarray]) -> pa.Array:
     ends = np.zeros(len(values) + 1, np.int32)
     np.cumsum([len(v) for v in values], out=ends[1:])
-    flat = np.concatenate(values) if values else np.empty(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+    return lists(np.concatenate(values) if values else np.empty(0, np.uint64), ends)
+
+
+_SKETCHES = T.ArrayType(T.StructType().add("band", "integer").add("whole", "boolean")
+                        .add("parts", T.ArrayType(T.LongType())))
 
 
 def sketches(df: DataFrame, n: int, num: int, den: int, text_col: str = "text") -> DataFrame:
     """``df`` with ``n_shingles``, ``node`` and ``check`` (128 bits of the set's hash; NULL
-    for an empty set) and ``part_keys``."""
+    for an empty set) and ``sketches``."""
     ship_code(df.sparkSession)
-    names = ["n_shingles", "node", "check", "part_keys"]
+    names = ["n_shingles", "node", "check", "sketches"]
     kept = [c for c in df.columns if c not in names]
     schema = (df.select(*[F.col(f"`{c}`") for c in kept]).schema.add("n_shingles", "long")
-              .add("node", "long").add("check", "long").add("part_keys", T.ArrayType(T.LongType())))
+              .add("node", "long").add("check", "long").add("sketches", _SKETCHES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
@@ -167,12 +161,20 @@ def sketches(df: DataFrame, n: int, num: int, den: int, text_col: str = "text")
             sets = [shingles(t or "", n, _HASHES) for t in part.column(text_col).to_pylist()]
             ids = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) if len(s)
                    else (None, None) for s in sets]
-            keys = [part_keys(s, bands) if len(s) else s for s in sets]
+            made = [sketches_of(s, bands) if len(s) else [] for s in sets]
+            flat = [x for each in made for x in each]
+            ends = np.zeros(len(made) + 1, np.int32)
+            np.cumsum([len(each) for each in made], out=ends[1:])
+            structs = pa.StructArray.from_arrays(
+                [pa.array([x[0] for x in flat], pa.int32()),
+                 pa.array([x[1] for x in flat], pa.bool_()), _longs([x[2] for x in flat])],
+                names=["band", "whole", "parts"])
             yield pa.RecordBatch.from_arrays(
                 [part.column(c) for c in kept] + [
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([i[0] for i in ids], pa.int64()),
-                    pa.array([i[1] for i in ids], pa.int64()), _longs(keys)],
+                    pa.array([i[1] for i in ids], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), structs)],
                 names=kept + names)
 
     return df.mapInArrow(run, schema)
@@ -230,31 +232,87 @@ def _forest(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int
     return edges
 
 
-def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Forest edges ``a``, ``b`` of every group. ``members``: ``grp``, ``node``, ``n``."""
+def _near_forest(nodes: np.ndarray, sizes: np.ndarray, parts: np.ndarray, num: int, den: int
+                 ) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs whose sketches (sets x parts) do not rule a link out: linked
+    sets of x and y elements differ in at most (x + y) (den - num) / (den + num)."""
+    edges, found = [], []
+    left = np.arange(len(nodes))
+    while len(left):
+        if found:
+            i = found.pop()
+        else:
+            i, left = left[0], left[1:]
+        apart = np.bitwise_count(parts[left] ^ parts[i]).sum(1, dtype=np.int64)
+        near = apart * (den + num) <= (sizes[left] + sizes[i]) * (den - num)
+        edges += [(int(nodes[i]), int(nodes[j])) for j in left[near]]
+        found += left[near].tolist()
+        left = left[~near]
+    return edges
+
+
+def _dealt(members: DataFrame, max_nodes: int, max_elements: int) -> DataFrame:
+    """``members`` (``grp``, ``node``, ``n`` and others) once for every ``task``, a pair of blocks of
+    its group."""
     blocks = members.groupBy("grp").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_ELEMENTS))
+        F.ceil(F.count(F.lit(1)) / max_nodes), F.ceil(F.sum("n") / max_elements))
         .cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64(F.lit(9), "node"), F.col("blocks")).cast("int")
-    dealt = (members.join(blocks, "grp").withColumn("own", own)
-             .select("grp", "node", "own",
-                     F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-             .select("node", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))
-                     .alias("task")))
+    return (members.join(blocks, "grp").withColumn("own", own)
+            .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            .withColumn("task", F.xxhash64("grp", F.least("own", "other"),
+                                           F.greatest("own", "other")))
+            .drop("grp", "blocks", "own", "other"))
+
+
+def _arrays(values: pa.ChunkedArray) -> list[np.ndarray]:
+    values = values.combine_chunks()
+    ends = np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(values.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+
+
+def _edges(edges: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()),
+                     "b": pa.array([b for _, b in edges], pa.int64())})
+
+
+def _likely_links(members: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
+    """Forest edges ``a``, ``b`` of every group by its sketches. ``members``: ``grp``, ``band``,
+    ``node``, ``n``; ``parts``: ``node``, ``band``, ``parts``."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        return _edges(_near_forest(
+            table.column("node").to_numpy(), table.column("n").to_numpy(),
+            np.stack(_arrays(table.column("parts"))).view(np.uint64), num, den))
+
+    dealt = _dealt(members, SKETCH_NODES, SKETCH_ELEMENTS)
+    return (dealt.join(parts, ["node", "band"]).select("task", "node", "n", "parts")
+            .groupBy("task").applyInArrow(compare, "a long, b long")
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Forest edges ``a``, ``b`` of every group by its sets. ``members``: ``grp``, ``node``, ``n``."""
 
     def compare(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        values = table.column("elements").combine_chunks()
-        flat = values.flatten().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))
-        edges = _forest(nodes, np.split(flat, ends[:-1]), num, den)
-        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()),
-                         "b": pa.array([b for _, b in edges], pa.int64())})
+        return _edges(_forest(table.column("node").to_numpy(), _arrays(table.column("elements")),
+                              num, den))
 
+    dealt = _dealt(members, BLOCK_NODES, BLOCK_ELEMENTS).select("task", "node")
     return (dealt.join(sets, "node").groupBy("task").applyInArrow(compare, "a long, b long")
             .distinct())
 
 
+def _verified(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``edges`` with ``holds``: are these two sets linked?"""
+    a = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
+    b = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
+    common = F.size(F.array_intersect("ea", "eb")).cast("long")
+    union = F.size("ea") + F.size("eb") - common
+    return edges.join(a, "a").join(b, "b").select(
+        "a", "b", (common * den >= union * num).alias("holds"))
+
+
 def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                        id_col: str = "doc_id", text_col: str = "text",
                        carry: list[str] | None = None) -> DataFrame:
@@ -279,33 +337,54 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     classes = written(
         rows.filter(F.col("node").isNotNull()).groupBy("node", "check", "n_shingles").agg(
             F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id"),
-            F.first("part_keys").alias("part_keys")), "join-classes")
+            F.first("sketches").alias("sketches")), "join-classes")
 
+    parts = classes.select("node", "copies", F.explode("sketches").alias("x")).select(
+        "node", "copies", "x.band", "x.whole", "x.parts")
     by_key = Window.partitionBy("key")
-    buckets = (classes.select("node", "copies", F.explode("part_keys").alias("key"))
+    buckets = (parts.select("node", "copies", "band", "whole", F.posexplode("parts"))
+               .filter((F.col("col") != 0) | F.col("whole"))
+               .select("node", "copies", "band", F.xxhash64("band", "pos", "col").alias("key"))
                .withColumn("m", F.count(F.lit(1)).over(by_key))
                .withColumn("top", F.max(F.struct("copies", "node")).over(by_key)).filter("m > 1"))
-    # all buckets of one centre are one group
+    # all buckets of one centre and band are one group
     pairs = written(buckets.filter(F.col("node") != F.col("top.node"))
-                    .select(F.col("top.node").alias("grp"), "node").distinct(), "join-pairs")
-    sizes = classes.select("node", F.col("n_shingles").alias("n"))
+                    .select(F.col("top.node").alias("centre"), "band", "node").distinct(),
+                    "join-pairs")
+    grouped = pairs.unionByName(
+        pairs.select("centre", "band", F.col("centre").alias("node")).distinct())
     members = written(
-        pairs.unionByName(pairs.select("grp", F.col("grp").alias("node")).distinct())
-        .join(sizes, "node").select("grp", "node", "n"), "join-members")
-    reps = written(classes.join(members.select("node").distinct(), "node", "left_semi")
-                   .select("node", "least_id"), "join-reps")
+        grouped.join(classes.select("node", F.col("n_shingles").alias("n")), "node")
+        .select(F.xxhash64("centre", "band").alias("grp"), "band", "node", "n"), "join-members")
+    likely = written(_likely_links(members, parts.select("node", "band", "parts"), num, den),
+                     "join-likely")
+
+    nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    reps = written(classes.join(nodes, "node", "left_semi").select("node", "least_id"),
+                   "join-reps")
     few = F.broadcast(reps) if reps.count() <= MAX_BROADCAST_ROWS else reps
     texts = (docs.select("id", "text").join(few, F.col("id").eqNullSafe(F.col("least_id")))
              .select("node", "text"))
     # rows that repeat an id and text give the same set again
-    sets = _sets(texts, n).groupBy("node").agg(F.first("elements").alias("elements"))
-    comps = components(written(_links(members, sets, num, den), "join-links"))
+    sets = written(_sets(texts, n).groupBy("node").agg(F.first("elements").alias("elements")),
+                   "join-sets")
+    checked = written(_verified(likely, sets, num, den), "join-checked")
+    links = checked.filter("holds").select("a", "b")
+    if not checked.filter("not holds").isEmpty():
+        # links lie within the components of likely ones; those with a wrong edge anew
+        wide = components(likely)
+        torn = wide.join(checked.filter("not holds").select(F.col("a").alias("node")).join(
+            wide, "node").select("component").distinct(), "component", "left_semi")
+        again = members.join(torn, "node").select(
+            F.xxhash64("grp", "component").alias("grp"), "node", "n")
+        links = links.unionByName(_links(again, sets, num, den))
+    comps = components(written(links, "join-links"))
 
     named = classes.join(comps, "node", "left").select(
         "node", "check", F.coalesce("component", "node").alias("component"), "least_id")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = named.join(least, "component").select("node", "check", "component", "component_id")
-    return rows.drop("part_keys").join(named, ["node", "check"], "left").select(
+    return rows.drop("sketches").join(named, ["node", "check"], "left").select(
         *[F.col("carried").getField(c).alias(c) for c in carry], "n_shingles",
         F.col("node").alias("class_id"), "component",
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))

@@ -74,6 +74,11 @@ def test_sketch_bounds_the_difference():
         assert np.bitwise_count(sa ^ sb).sum() <= differ
 
 
+def joined_parts(elements, bands):
+    return {(band, i, value) for band, whole, parts in nj.sketches_of(elements, bands)
+            for i, value in enumerate(parts.tolist()) if value or whole}
+
+
 @pytest.mark.parametrize("num,den", [(90, 100), (80, 100), (50, 100)])
 def test_linked_sets_share_a_key(num, den):
     rng = np.random.default_rng(2)
@@ -87,8 +92,55 @@ def test_linked_sets_share_a_key(num, den):
         b = np.unique(b)
         common = len(np.intersect1d(a, b))
         if den * common >= num * (len(a) + len(b) - common):
-            keys = set(nj.part_keys(a, bands).tolist()) & set(nj.part_keys(b, bands).tolist())
-            assert keys
+            assert joined_parts(a, bands) & joined_parts(b, bands)
+
+
+def test_forest_joins_all_linked_sketches():
+    rng = np.random.default_rng(6)
+    bands = nj.Bands(90, 100)
+    bases = [np.unique(rng.integers(0, 2 ** 63, 300).astype(np.uint64)) for _ in range(4)]
+    sets = []
+    for i in range(60):
+        base = bases[rng.integers(0, 4)]
+        keep = base[rng.random(len(base)) > rng.choice([0.0, 0.03, 0.1])]
+        new = rng.integers(0, 2 ** 63, int(rng.integers(0, 12))).astype(np.uint64)
+        sets.append(np.unique(np.concatenate([keep, new])))
+    n_parts, _ = bands.shape(bands.of(300))
+    sizes = np.array([len(s) for s in sets])
+    parts = np.stack([nj.sketch(s, n_parts) for s in sets])
+    edges = nj._near_forest(np.arange(60), sizes, parts, 90, 100)
+    found = groups(edges, range(60))
+    assert len(edges) == 60 - len(set(found.values()))
+    for a, b in itertools.combinations(range(60), 2):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * common >= 90 * (sizes[a] + sizes[b] - common):
+            assert found[a] == found[b]
+
+
+def test_sketches_that_collide_are_seen_through(spark):
+    """Seven replaced words of 400 are just no link, but sketches often collide in a bit."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(400)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 45):
+        t = list(base)
+        for p in rng.sample(range(5, 395, 5), 6 if i % 9 == 0 else 7):
+            t[p] = f"new{i}x{p}"
+        docs.append((i, " ".join(t)))
+        if i % 4 == 0:
+            t[200] = "other"
+            docs.append((100 + i, " ".join(t)))
+    bands, elements = nj.Bands(90, 100), {}
+    for i, text in docs:
+        elements[i] = nj.shingles(text, 3, nj.Hashes())
+    n_parts, _ = bands.shape(bands.of(398))
+    apart = [int(np.bitwise_count(nj.sketch(elements[0], n_parts)
+                                  ^ nj.sketch(elements[i], n_parts)).sum()) for i in range(1, 45)]
+    assert any(d < 42 for d, i in zip(apart, range(1, 45)) if i % 9)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in nj.jaccard_components(df, 3, 90, 100).collect()}
+    assert got == plain_components(docs, 3, 90, 100)
 
 
 def test_odd_rows(spark):
