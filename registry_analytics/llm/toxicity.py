@@ -236,8 +236,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                            F.col(f"`{label_col}`").alias("toxic"))
              .filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
              .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")))
-    sample = written(known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-                     .limit(MAX_LABELLED), "toxic-labels")
+    # at most MAX_LABELLED rows of two numbers
+    sample = F.broadcast(written(known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
+                                 .limit(MAX_LABELLED), "toxic-labels"))
     words = evidence(docs.join(sample, "doc_id"))
 
     rows = written(cast_votes(docs.withColumn("held_out", held_out()), words), "toxic-votes")
