@@ -145,6 +145,28 @@ def test_measures_against_plain_version(spark):
         -sum(n / len(ids) * math.log2(n / len(ids)) for n in counts.values()))
 
 
+def test_texts_of_words_with_digits_are_judged(spark):
+    """Keys and serial numbers are measured where they are most of a text, and only there."""
+    import random
+
+    rng = random.Random(6)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en"]
+
+    def prose(n):
+        return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(n))
+
+    docs = [(i, prose(130), "en") for i in range(80)]
+    docs += [(100, " ".join(f"{rng.getrandbits(64):016x}" for _ in range(25)), "en"),
+             (101, prose(125) + " 4111111111111111 2024-05-06", "en"), (102, "", "en")]
+    measured = quality.measure(spark.createDataFrame(docs, "doc_id long, text string, lang string"),
+                               P.path(queries.PIECES))
+    got = {r.doc_id: r for r in quality.judge(measured).collect()}
+    classes = {got[i].n_tokens.bit_length() for i in (0, 100, 101)}
+    assert len(classes) == 1 and not got[100].base_failed
+    assert not got[100].kept and got[101].kept and got[102].base_failed
+    assert sum(got[i].kept for i in range(80)) >= 78
+
+
 def test_odd_documents(spark):
     df = spark.createDataFrame(odd_documents(), SCHEMA)
     assert quality.judge(quality.measure(df, P.path(queries.PIECES))).count() == len(
