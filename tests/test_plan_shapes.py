@@ -10,7 +10,8 @@ from registry_analytics.sources import fixtures
 
 from .conftest import SF_SMALL
 
-FITTED = {"als_rmse", "als_tuned", "user_mean_rmse", "item_index", "item_index_hot"}
+FITTED = {"als_rmse", "als_tuned", "als_tuned_b", "als_tuned_c", "user_mean_rmse", "item_index",
+          "item_index_hot"}
 SKIP = FITTED | {"stream_study_types"}
 NAMES = sorted(n for n in QUERIES if n not in SKIP)
 
