@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,22 +26,22 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def plain_dedup(docs, simhash):
-    """Every pair of lines; ``simhash``: the operator's hash of a normal form."""
+def plain_dedup(docs):
+    """Every pair of lines, by edit similarity alone."""
     seen = defaultdict(list)
     for doc_id, text in docs:
         for pos, line in enumerate((text or "").split("\n")):
             norm = " ".join(plain_norm(line).split())
-            if len(norm.split()) >= line_dedup.MIN_WORDS:
+            if len(norm.split()) >= line_dedup.MIN_WORDS or len(norm) >= line_dedup.MIN_LENGTH:
                 seen[norm].append((doc_id, pos))
     norms = sorted(seen)
     links = []
     for i, a in enumerate(norms):
         for b in norms[:i]:
-            if bin(simhash[a] ^ simhash[b]).count("1") <= line_dedup.MAX_BITS:
-                longer = max(len(a), len(b))
-                if edit_distance(a, b) <= math.floor(longer * 0.1 + 1e-9):
-                    links.append((b, a))
+            longer = max(len(a), len(b))
+            if abs(len(a) - len(b)) <= longer * 0.1 and edit_distance(a, b) <= math.floor(
+                    longer * 0.1 + 1e-9):
+                links.append((b, a))
     comp = groups(links, norms)
     members = defaultdict(list)
     for n in norms:
@@ -75,43 +76,164 @@ def fuzzy_documents():
 
 def test_line_dedup_equals_brute_force(spark):
     docs = fuzzy_documents() + [(900, None), (901, ""), (902, "\n\n")]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    lines = line_dedup._lines(df, "doc_id", "text")
-    hashes = {r.norm: r.sim for r in line_dedup._occurrences(lines).join(
-        lines.select("n1", "norm").distinct(), "n1").select("norm", "sim").distinct().collect()}
-    assert all(plain_norm(n) == n for n in hashes)
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
-    want = plain_dedup(docs, hashes)
-    assert {d: r.text for d, r in got.items()} == want
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {d: r.text for d, r in got.items()} == plain_dedup(docs)
     assert sum(r.n_removed for r in got.values()) > 40
     assert all(r.n_lines == (0 if docs_text is None else docs_text.count("\n") + 1)
                for (d, docs_text) in docs for r in [got[d]])
 
 
-def test_simhash_is_the_majority_of_word_hashes(spark):
-    df = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta")],
-                               "doc_id long, text string")
-    lines = line_dedup._lines(df, "doc_id", "text")
-    got = line_dedup._occurrences(lines).first().sim
-    words = [r.h for r in lines.select(F.explode(F.split("norm", " ")).alias("w"))
-             .select(F.xxhash64("w").alias("h")).collect()]
-    want = 0
-    for i in range(64):
-        if 2 * sum((h >> i) & 1 for h in words) > len(words):
-            want |= 1 << i
-    assert got == want - (1 << 64 if want >> 63 else 0)
-
-
-def test_large_buckets_lose_no_link(spark):
-    """More than SMALL variants of one line, linked to their neighbours."""
+def some_words(lines):
+    """Hash and length of every word, and words of each line, as the operator has them."""
+    got = line_dedup.cut("\n".join(" ".join(words) + " q" * 5 for words in lines))
+    at = np.cumsum(got.words) - got.words
+    kept = np.concatenate([np.arange(a, a + len(words)) for a, words in zip(at, lines)])
+    return got.h[kept], got.length[kept], np.array([len(words) for words in lines])
+
+
+def test_lines_are_cut_like_normal_forms():
+    rng = random.Random(1)
+    signs = list("abÉßé ") * 4 + list("12_-,.;\t\x0b\u2028½²ǅİ") + list("漢字かナไท🙂\U00020010")
+    lines = ["".join(rng.choices(signs, k=rng.randint(1, 60))) for _ in range(300)]
+    lines = [x for line in lines for x in (line, "".join(rng.choices(line, k=3)))]
+    lines += lines[:40] + [line.upper() for line in lines[:40] if "ß" not in line]
+    lines += ["one two three", "sixteen letters or more in a line here", ""]
+    got = line_dedup.cut("\n".join(lines))
+    norms = [line_dedup.normal(line) for line in lines]
+    single = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u4e00-\u9fff\U00020000-\U000323ff]|"
+                        "[^\u0e00-\u0eff\u3040-\u30ff\u4e00-\u9fff\U00020000-\U000323ff]+")
+    words = [[w for run in n.split() for w in single.findall(run)] for n in norms]
+    want = [i for i, n in enumerate(norms) if len(words[i]) >= 5 or len(n) >= 30]
+    assert got.pos.tolist() == want and 100 < len(want) < len(lines) - 10
+    assert got.size.tolist() == [len(norms[i]) for i in want]
+    assert got.words.tolist() == [len(words[i]) for i in want]
+    assert got.length.tolist() == [len(w) for i in want for w in words[i]]
+    flat = [w for i in want for w in words[i]]
+    assert len(set(zip(flat, got.h.tolist()))) == len(set(flat)) == len(set(got.h.tolist()))
+    names = list(zip(got.n1.tolist(), got.n2.tolist()))
+    forms = [tuple(words[i]) for i in want]
+    assert len(set(zip(names, forms))) == len(set(names)) == len(set(forms))
+
+
+def test_simhash_is_the_majority_of_word_hashes():
+    lines = [["alpha", "beta", "gamma"], ["one"], ["ab", "middling"] * 300 + ["cde"] * 250, ["a", "b", "a", "c", "d"], ["x", "seventh", "yz"]]
+    h, length, sizes = some_words(lines)
+    hashes = dict(zip([w for words in lines for w in words], h))
+    got = line_dedup.simhash(h, length, np.cumsum(sizes) - sizes, sizes)
+    for words, value in zip(lines, got.view(np.uint8).reshape(-1, 8)):
+        votes = [w for w in words for _ in range(4 if len(w) > 4 else 1)]
+        bits = np.unpackbits(np.array([hashes[w] for w in votes], np.uint64)
+                             .view(np.uint8).reshape(-1, 8), axis=1)
+        assert (np.unpackbits(value) == (2 * bits.sum(0) > len(votes))).all()
+
+
+def edited(rng, a, edits):
+    b = list(a)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(b) + 1), rng.random()
+        if kind < 0.4:
+            b.insert(at, rng.choice("abxé "))
+        elif b and kind < 0.7:
+            b[min(at, len(b) - 1)] = rng.choice("abxé ")
+        elif b:
+            del b[min(at, len(b) - 1)]
+    return "".join(b)
+
+
+def test_bounds_and_edit_distance():
+    rng = random.Random(2)
+    for i in range(300):
+        a = "".join(rng.choices("abcd é漢", k=rng.randint(0, 90)))
+        b = edited(rng, a, rng.randint(0, 9)) if i % 5 else "".join(rng.choices("abcd é", k=30))
+        d = edit_distance(a, b)
+        assert line_dedup.edit_distance(a, b, 200) == d
+        limit = rng.randint(0, 12)
+        assert min(line_dedup.edit_distance(a, b, limit), limit + 1) == min(d, limit + 1)
+        x, y = line_dedup.letter_counts([a, b]).astype(int)
+        assert max(np.maximum(x - y, 0).sum(), np.maximum(y - x, 0).sum()) <= d
+        assert line_dedup.shares_grams(a, b, d)
+        longer = max(len(a), len(b))
+        assert line_dedup.similar(a, b) == (d <= math.floor(longer * 0.1 + 1e-9))
+    assert line_dedup.letter_counts(["a" * 500]).max() == 127
+    assert not line_dedup.shares_grams("ab" * 30, "cd" * 30, 11)
+    assert line_dedup.shares_grams("ab" * 30, "cd" * 30, 12)
+
+
+def test_long_lines_are_compared(spark):
+    rng = random.Random(18)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 8))) for _ in range(300)]
+    docs = []
+    for i in range(6):
+        line = rng.choices(words, k=rng.choice([90, 120]))
+        docs.append((i, " ".join(line)))
+        for j in rng.sample(range(len(line)), len(line) // rng.choice([12, 30])):
+            line[j] = rng.choice(words)
+        docs.append((100 + i, " ".join(line)))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == plain_dedup(docs)
+
+
+def test_keys_are_the_first_pairs():
+    rng = random.Random(5)
+    lines = [rng.choices([f"word{i}" for i in range(40)], k=k) for k in (1, 2, 5, 8, 9, 30, 60)]
+    h, length, sizes = some_words(lines)
+    hashes = dict(zip([w for words in lines for w in words], h))
+    keys, n = line_dedup.keys_of(h, length, sizes)
+    at = np.cumsum(n) - n
+    both = []
+    for i, words in enumerate(lines):
+        own = set(keys[at[i]:at[i] + n[i]].tolist())
+        assert len(own) == n[i] and 1 <= n[i] <= 2 * line_dedup.KEYS
+        # every key is a pair of the line, and a line's copy has the same keys
+        pairs = {int(line_dedup.mixed(np.array([hashes[a]]) * line_dedup.GOLDEN + hashes[b])[0])
+                 for j, a in enumerate(words) for b in (words[j + 1:] or words[j:])}
+        assert own <= pairs
+        both.append(own)
+    again, m = line_dedup.keys_of(h[::1].copy(), length, sizes)
+    assert (again == keys).all() and (m == n).all()
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Many variants of one line, linked to their neighbours, in buckets of several blocks."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
     base = "abcdefghij klmnopqrst uvwxyzabcd efghijklmn opqrstuvwx yzabcdefgh ijklmnopqr"
     docs = [(i, base + " " + "x" * (i % 4 + 1) + chr(97 + i)) for i in range(26)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    lines = line_dedup._lines(df, "doc_id", "text")
-    hashes = {r.norm: r.sim for r in line_dedup._occurrences(lines).join(
-        lines.select("n1", "norm").distinct(), "n1").select("norm", "sim").distinct().collect()}
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
-    assert got == plain_dedup(docs, hashes)
+    docs += [(100 + i, base + " " + c * 9) for i, c in enumerate("stuvwz")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == plain_dedup(docs)
+
+
+def test_a_common_pair_of_words_joins_nothing(spark):
+    """A third of all lines hold the same two long words; some of them have a variant."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(2000)]
+    docs = []
+    for i in range(400):
+        line = rng.choices(words, k=12)
+        if i % 3 == 0:
+            line[4:6] = ["extraordinarily", "commonplace"]
+        docs.append((i, " ".join(line)))
+        if i % 30 == 0:
+            docs.append((1000 + i, " ".join(line) + "x"))
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {d for d, n in got.items() if n} == {1000 + i for i in range(0, 400, 30)}
+
+
+def test_scripts_without_spaces_are_compared(spark):
+    chinese = "这一行文字在许多文档中重复出现，因此只应保留一次。"
+    japanese = "この行は多くの文書で繰り返されるため、一度だけ残すべきです。"
+    docs = [(1, chinese + "\n短行"), (2, "另一个开头\n" + chinese), (3, japanese),
+            (4, japanese.replace("多くの", "多くな") + "\n短行"), (5, "短行"),
+            (6, "Donaudampfschifffahrtsgesellschaftskapitän Mütze"),
+            (7, "donaudampfschifffahrtsgesellschaftskapitän: Mütze!"), (8, "two words"),
+            (9, "two words")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(docs) | {2: "另一个开头", 4: "短行", 7: ""}
 
 
 def varied_lines():
