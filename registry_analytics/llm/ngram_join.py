@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -292,7 +292,8 @@ def _likely_links(members: DataFrame, parts: DataFrame, num: int, den: int) -> D
 
 
 def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Forest edges ``a``, ``b`` of every group by its sets. ``members``: ``grp``, ``node``, ``n``."""
+    """Forest edges ``a``, ``b`` of every group by its sets. ``members``: ``grp``, ``node``,
+    ``n``."""
 
     def compare(table: pa.Table) -> pa.Table:
         return _edges(_forest(table.column("node").to_numpy(), _arrays(table.column("elements")),

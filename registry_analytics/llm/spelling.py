@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-RUN = r"[A-Za-zÀ-ÿ]+"
 NO_RUN = r"[^A-Za-zÀ-ÿ]+"
 MIN_POINTS = 6
 MIN_COUNT = 5
