@@ -156,8 +156,8 @@ def test_bounds_and_edit_distance():
         longer = max(len(a), len(b))
         assert line_dedup.similar(a, b) == (d <= math.floor(longer * 0.1 + 1e-9))
     assert line_dedup.letter_counts(["a" * 500]).max() == 127
-    assert not line_dedup.shares_grams("ab" * 30, "cd" * 30, 11)
-    assert line_dedup.shares_grams("ab" * 30, "cd" * 30, 12)
+    assert not line_dedup.shares_grams("ab" * 30, "cd" * 30, 60 // line_dedup.GRAM - 1)
+    assert line_dedup.shares_grams("ab" * 30, "cd" * 30, 60 // line_dedup.GRAM)
 
 
 def test_long_lines_are_compared(spark):
