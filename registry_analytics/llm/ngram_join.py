@@ -7,7 +7,8 @@ differ in at most x (1 - t) / t elements.
 
 1. Size bands: [lo, hi] with lo / hi about t squared, so linked sets lie in one band or in
    neighbouring ones. In band b the difference is at most D = hi (1 - t) / t.
-2. The sketch of a band has D + 1 + K parts of 64 bits. Linked sketches differ in at most D
+2. The sketch of a band has D + 1 + K parts of 64 bits: 40 of parity, 24 of the XOR of the
+   elements' hashes. Linked sketches differ in at most D
    parts, so they agree in at least K + 1 (pigeonhole). Parts without a set bit say
    little; a sketch with at most K of them is joined on its other parts only, which
    still include an agreeing one. Other sketches are joined on all parts. A set is
@@ -50,6 +51,7 @@ BLOCK_ELEMENTS = 400_000
 # the same for blocks of sketches
 SKETCH_NODES = 1024
 SKETCH_ELEMENTS = 2_000_000
+PARITY_BITS = 40
 # representatives of candidate classes (two numbers each) that may be broadcast; more are
 # joined by a shuffle
 MAX_BROADCAST_ROWS = 1_000_000
@@ -105,13 +107,23 @@ class Bands:
 
 
 def sketch(elements: np.ndarray, n_parts: int) -> np.ndarray:
-    """Parity sketch: 64 bits a part, every element flips one bit."""
+    """Parity sketch: every element flips one of ``PARITY_BITS`` bits of its part; above them a
+    part has the XOR of its elements' hashes, so that parts of few elements tell them apart."""
     parts = np.zeros(n_parts, np.uint64)
     at = ((elements >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
-    np.bitwise_xor.at(parts, at, np.uint64(1) << (elements & np.uint64(63)))
+    bit = (elements & np.uint64(255)) % np.uint64(PARITY_BITS)
+    above = (elements >> np.uint64(8)) << np.uint64(PARITY_BITS)
+    np.bitwise_xor.at(parts, at, above | np.uint64(1) << bit)
     return parts
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of sketches (along the last axis) in their parity bits: no more than the
+    sizes of the symmetric differences of the sets."""
+    parity = np.uint64((1 << PARITY_BITS) - 1)
+    return np.bitwise_count((a ^ b) & parity).sum(-1, dtype=np.int64)
+
+
 def sketches_of(elements: np.ndarray, bands: Bands) -> list[tuple[int, bool, np.ndarray]]:
     """Band, whether parts without a set bit are joined too, and the sketch, for the own
     band of a set and for the one below if a linked set can lie there."""
@@ -243,8 +255,8 @@ def _near_forest(nodes: np.ndarray, sizes: np.ndarray, parts: np.ndarray, num: i
             i = found.pop()
         else:
             i, left = left[0], left[1:]
-        apart = np.bitwise_count(parts[left] ^ parts[i]).sum(1, dtype=np.int64)
-        near = apart * (den + num) <= (sizes[left] + sizes[i]) * (den - num)
+        near = apart(parts[left], parts[i]) * (den + num) <= (
+            sizes[left] + sizes[i]) * (den - num)
         edges += [(int(nodes[i]), int(nodes[j])) for j in left[near]]
         found += left[near].tolist()
         left = left[~near]
