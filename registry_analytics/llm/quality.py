@@ -1,14 +1,14 @@
 """Quality rules: word statistics and tokeniser fertility with rejection bands.
 
-Every whole text is cut into words. A public vocabulary with byte fallback measures the
-words without digits (numbers, addresses and keys say nothing about the language), or all
-words of a text whose words with digits hold more than half of its characters: code points
-per token, the share of byte-fallback tokens, and the entropy of the tokens. The
-values of running text lie close together for texts of one language and size; symbol
-noise, tables and shouting lie outside. A group is a language and a power of two of tokens;
-its band is the median plus or minus ``WIDTH`` robust standard deviations (interquartile
-range / 1.349). Bands come from exact histograms over all documents that pass the base
-rules.
+Every whole text is cut into words. A public vocabulary with byte fallback measures all of
+them (``all_``), and by themselves those without digits (numbers, addresses and keys say
+nothing about the language; where they hold more than half of the characters, all words
+once more): code points per token, the share of byte-fallback tokens, and the entropy of the
+tokens. The values of running text lie close together for texts of one language and size;
+symbol noise, tables and shouting lie outside. A group is a language and a power of two of
+tokens; its band is the median plus or minus ``WIDTH`` robust standard deviations
+(interquartile range / 1.349), more in a group of few documents. Bands come from exact
+histograms over all documents that pass the base rules, and judge all of them.
 """
 
 from __future__ import annotations
@@ -28,12 +28,13 @@ MAX_REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 WIDTH = 4.0
-# a language and size has a band with at least this many documents, whatever the input size;
-# documents of smaller groups are not judged by a band
+# a language and size with fewer documents has a band that is wider by the root of what is missing
 MIN_GROUP = 50
 # scale of the stored values, least interquartile range, which sides reject
 METRICS = {"chars_per_token": (1000, 0.03, "both"), "byte_share": (1000, 0.01, "above"),
-           "token_entropy": (1000, 0.1, "both")}
+           "token_entropy": (1000, 0.1, "both"),
+           "all_chars_per_token": (1000, 0.1, "both"), "all_byte_share": (1000, 0.01, "above"),
+           "all_token_entropy": (1000, 0.2, "both")}
 MAX_MODEL_BYTES = 64 << 20
 _CACHE_WORDS = 600_000
 _CACHED_BYTES = 64
@@ -41,7 +42,9 @@ _SLICE = 512
 
 _STATS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"),
           ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("n_tokens", "long"),
-          ("chars_per_token", "double"), ("byte_share", "double"), ("token_entropy", "double")]
+          ("chars_per_token", "double"), ("byte_share", "double"), ("token_entropy", "double"),
+          ("all_tokens", "long"), ("all_chars_per_token", "double"), ("all_byte_share", "double"),
+          ("all_token_entropy", "double")]
 
 
 class Meter:
@@ -55,29 +58,28 @@ class Meter:
         self.is_byte = np.array([self.sp.is_byte(i) for i in range(n)], bool)
         self.ids: dict[bytes, bytes] = {}
         self.chars: dict[bytes, int] = {}
-
-    def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes, int]]:
-        # documents hold no invalid UTF-8; a word is whole UTF-8 since it is cut at ASCII
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for word, text, ids in zip(words, texts, self.sp.encode(texts, num_threads=1)):
-            yield word, np.array(ids, np.int32).tobytes(), len(text)
+        self.digits: set[bytes] = set()
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if not any(c in w for c in b"0123456789")]
-        self.ids.update(dict.fromkeys(words, b""))
-        self.chars.update(dict.fromkeys(words, 0))
-        for word, ids, chars in self._encoded(new):
-            self.ids[word], self.chars[word] = ids, chars
-
-    def measure(self, words: list[bytes], word_chars: int) -> tuple[int, float, float, float]:
-        """Tokens, code points per token, byte-fallback share, entropy in bits. ``word_chars``:
-        the code points of all words."""
-        chars = sum(map(self.chars.__getitem__, words))
-        ids = b"".join(map(self.ids.__getitem__, words))
-        if 2 * chars < word_chars:
-            every = {w: x for w, x, _ in self._encoded(list(set(words)))}
-            ids, chars = b"".join(map(every.__getitem__, words)), word_chars
-        ids = np.frombuffer(ids, np.int32)
+        new = list(words)
+        # documents hold no invalid UTF-8; a word is whole UTF-8 since it is cut at ASCII
+        texts = [w.decode("utf-8", "replace") for w in new]
+        for word, text, ids in zip(new, texts, self.sp.encode(texts, num_threads=1)):
+            self.ids[word], self.chars[word] = np.array(ids, np.int32).tobytes(), len(text)
+            if any(c in word for c in b"0123456789"):
+                self.digits.add(word)
+
+    def forget(self, word: bytes) -> None:
+        del self.ids[word], self.chars[word]
+        self.digits.discard(word)
+
+    def clear(self) -> None:
+        self.ids.clear()
+        self.chars.clear()
+        self.digits.clear()
+
+    def _values(self, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
+        ids = np.frombuffer(b"".join(map(self.ids.__getitem__, words)), np.int32)
         n = len(ids)
         if not n:
             return 0, 0.0, 0.0, 0.0
@@ -85,6 +87,17 @@ class Meter:
         entropy = float(np.log2(n) - (counts * np.log2(counts)).sum() / n)
         return n, chars / n, float(self.is_byte[ids].mean()), entropy
 
+    def measure(self, words: list[bytes], word_chars: int) -> tuple:
+        """Tokens, code points per token, byte-fallback share, entropy in bits: of the words
+        without digits (of all where these hold less than half of the code points), of all
+        words. ``word_chars``: the code points of all words."""
+        every = self._values(words, word_chars)
+        if self.digits.isdisjoint(words):
+            return every * 2
+        plain = [w for w in words if w not in self.digits]
+        chars = sum(map(self.chars.__getitem__, plain))
+        return (every if 2 * chars < word_chars else self._values(plain, chars)) + every
+
 
 def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words inside a window of ``window`` words that occurs twice or more."""
@@ -146,15 +159,14 @@ def measure(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame
                 texts = [t or "" for t in part.column(text_col).to_pylist()]
                 words = [t.encode().split() for t in texts]  # bytes.split cuts at ASCII space
                 if len(meter.ids) > _CACHE_WORDS:
-                    meter.ids.clear()
-                    meter.chars.clear()
+                    meter.clear()
                 new = {w for ws in words for w in ws if w not in meter.ids}
                 meter.learn(new)
                 base = [word_stats(t, w) for t, w in zip(texts, words)]
                 rows = [b + meter.measure(w, b[1]) for b, w in zip(base, words)]
                 for word in new:
-                    if len(word) > _CACHED_BYTES:
-                        del meter.ids[word], meter.chars[word]
+                    if len(word) > _CACHED_BYTES or word in meter.digits:
+                        meter.forget(word)
                 arrays = [part.column(c) for c in kept]
                 for (name, kind), values in zip(_STATS, zip(*rows)):
                     arrays.append(pa.array(values, pa.int64() if kind == "long" else pa.float64()))
@@ -172,14 +184,20 @@ def _size_class() -> Column:
     return F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")
 
 
+def _metrics(measured: DataFrame) -> list[str]:
+    """The metrics that ``measured`` has: all of them if it comes from ``measure``."""
+    return [m for m in METRICS if m in measured.columns]
+
+
 def bands(measured: DataFrame, group_col: str = "lang", width: float = WIDTH) -> DataFrame:
     """Rejection bands: one row per group and size class with ``low`` and ``high`` of each
-    metric."""
+    metric. Quartiles of few documents are vague: below ``MIN_GROUP`` the band widens."""
+    metrics = _metrics(measured)
     sound = measured.filter(~base_failed() & (F.col("n_tokens") > 0)).select(
         F.col(f"`{group_col}`").alias("grp"), _size_class().alias("size_class"),
         F.explode(F.array(*[
             F.struct(F.lit(m).alias("metric"), F.round(F.col(m) * scale).cast("long").alias("v"))
-            for m, (scale, _, _) in METRICS.items()])).alias("x"))
+            for m in metrics for scale in METRICS[m][:1]])).alias("x"))
     hist = sound.groupBy("grp", "size_class", "x.metric", "x.v").count()
     quart = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("count"))
     own = hist.groupBy(F.col("grp").cast("string").alias("grp"), "size_class", "metric").agg(
@@ -191,12 +209,13 @@ def bands(measured: DataFrame, group_col: str = "lang", width: float = WIDTH) ->
             return F.lit(float("-inf"))
         q = F.col("q")
         sigma = F.greatest((q[2] - q[0]) / scale, F.lit(least)) / 1.349
-        return q[1] / scale + sign * width * sigma
+        few = F.sqrt(F.greatest(F.lit(1.0), MIN_GROUP / F.col("docs")))
+        return q[1] / scale + sign * width * few * sigma
 
     return own.groupBy("grp", "size_class").agg(
         F.max("docs").alias("docs"),
         *[F.max(F.when(F.col("metric") == m, side(m, s))).alias(f"{name}_{m}")
-          for m in METRICS for s, name in ((-1, "low"), (1, "high"))])
+          for m in metrics for s, name in ((-1, "low"), (1, "high"))])
 
 
 def judge(measured: DataFrame, group_col: str = "lang", width: float = WIDTH) -> DataFrame:
@@ -204,13 +223,13 @@ def judge(measured: DataFrame, group_col: str = "lang", width: float = WIDTH) ->
     ``base_failed`` and ``kept``.
 
     A document that fails the base rules goes; others stay unless a metric lies outside
-    the band. NULL is a group like any other. Texts of a group with fewer than ``MIN_GROUP``
-    documents stay: another language's band says nothing about them. An empty frame stays
-    empty.
+    the band of their own language and size, however few documents that has (another
+    language's band says nothing about them). NULL is a group like any other. An empty frame
+    stays empty.
     """
+    metrics = _metrics(measured)
     table = written(bands(measured, group_col, width), "quality-bands")
-    table = table.filter(F.col("docs") >= MIN_GROUP)
-    lim = [f"{s}_{m}" for m in METRICS for s in ("low", "high")]
+    lim = [f"{s}_{m}" for m in metrics for s in ("low", "high")]
     own = table.select(
         "grp", F.col("size_class").alias("own_class"), F.struct(*lim).alias("band"))
     kept_cols = [F.col(f"`{c}`") for c in measured.columns if c not in ("base_failed", "kept")]
@@ -220,7 +239,7 @@ def judge(measured: DataFrame, group_col: str = "lang", width: float = WIDTH) ->
                  & (F.col("__class") == F.col("own_class")), "left")
     band = F.col("band")
     inside = F.lit(True)
-    for m in METRICS:
+    for m in metrics:
         # compare what the histogram saw
         value = F.round(F.col(m) * METRICS[m][0]) / METRICS[m][0]
         inside = inside & value.between(band[f"low_{m}"], band[f"high_{m}"])

@@ -171,3 +171,40 @@ def test_odd_documents(spark):
     df = spark.createDataFrame(odd_documents(), SCHEMA)
     assert quality.judge(quality.measure(df, P.path(queries.PIECES))).count() == len(
         odd_documents())
+
+
+def test_words_with_digits_are_measured_and_judged(spark):
+    """Words with digits count even where they are less than half of a text."""
+    import random
+
+    import sentencepiece
+
+    rng = random.Random(8)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en"]
+
+    def prose(n):
+        return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(n))
+
+    keys = " ".join(f"{rng.getrandbits(64):016x}" for _ in range(22))
+    docs = [(i, prose(130), "en") for i in range(80)] + [(100, prose(115) + " " + keys, "en")]
+    measured = quality.measure(spark.createDataFrame(docs, "doc_id long, text string, lang string"),
+                               P.path(queries.PIECES))
+    got = {r.doc_id: r for r in quality.judge(measured).collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path(queries.PIECES))
+    words = docs[-1][1].split()
+    assert 2 * sum(len(w) for w in words if not any(c.isdigit() for c in w)) > sum(map(len, words))
+    assert got[100].all_tokens == sum(len(sp.encode(w)) for w in words) > got[100].n_tokens
+    assert got[0].all_tokens == got[0].n_tokens
+    assert not got[100].base_failed and not got[100].kept
+    assert sum(got[i].kept for i in range(80)) >= 78
+
+
+def test_small_groups_are_judged_by_their_own_band(spark):
+    df = spark.range(21).select(
+        F.lit("dv").alias("lang"), F.lit(100).cast("long").alias("n_words"),
+        F.lit(0).cast("long").alias("n_repeat_words"), F.lit(150).cast("long").alias("n_tokens"),
+        F.when(F.col("id") == 20, 9.0).otherwise(1.2 + F.col("id") % 5 / 100)
+        .alias("chars_per_token"),
+        F.lit(0.0).alias("byte_share"), F.lit(5.0).alias("token_entropy"))
+    kept = quality.judge(df).filter("kept")
+    assert kept.count() == 20 and kept.filter("chars_per_token > 2").isEmpty()
