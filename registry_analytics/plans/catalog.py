@@ -29,30 +29,34 @@ from . import sql as sq
 MONTH_YEAR = 1998
 
 
+def fixture(spark: SparkSession, sf_dir: str, name: str) -> str:
+    return fx.materialize(spark, sf_dir, name)[name]
+
+
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_wide(read_lines(spark, fx.materialize(spark, sf_dir)["wide"]))
+    return parse_wide(read_lines(spark, fixture(spark, sf_dir, "wide")))
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned wide release as saved once by the ingest (parquet)."""
-    return read_release_table(spark, fx.materialize(spark, sf_dir)["wide_clean"])
+    return read_release_table(spark, fixture(spark, sf_dir, "wide_clean"))
 
 
 def narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_narrow(read_lines(spark, fx.materialize(spark, sf_dir)["narrow"]))
+    return parse_narrow(read_lines(spark, fixture(spark, sf_dir, "narrow")))
 
 
 def edge_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_wide(read_lines(spark, fx.materialize(spark, sf_dir)["wide"]), clean="edges")
+    return parse_wide(read_lines(spark, fixture(spark, sf_dir, "wide")), clean="edges")
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_company_list(spark, fx.materialize(spark, sf_dir)["companies"])
+    return read_company_list(spark, fixture(spark, sf_dir, "companies"))
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The interactions, ingested once from their CSV into parquet."""
-    return spark.read.parquet(fx.materialize(spark, sf_dir)["interactions"])
+    return spark.read.parquet(fixture(spark, sf_dir, "interactions"))
 
 
 def planted_rating(user_col: str = USER_COL, item_col: str = ITEM_COL):
@@ -124,7 +128,7 @@ def item_index_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loaded_release_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = load_release(spark, fx.materialize(spark, sf_dir)["wide"], dates=True, with_source=True)
+    df = load_release(spark, fixture(spark, sf_dir, "wide"), dates=True, with_source=True)
     return df.select("Id", "Start_Cleaned", "Completion_Cleaned", "Start_Date",
                      "Completion_Date", F.col("source_file").isNotNull().alias("has_source"))
 
@@ -184,7 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sql_enrollment_by_sponsor": lambda s, d: sq.enrollment_by_sponsor(s, trials(s, d), 10),
     # streaming: the same parser over a file stream, run to the end of the input
     "stream_study_types": lambda s, d: counts_table(
-        s, fx.materialize(s, d)["wide"], "Type", max_files_per_trigger=2),
+        s, fixture(s, d, "wide"), "Type", max_files_per_trigger=2),
     # interactions and recommender
     "action_counts": lambda s, d: fq.value_counts(
         ratings(s, d), [USER_COL, ITEM_COL, RATING_COL, ACTION_COL], None),
