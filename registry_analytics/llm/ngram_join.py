@@ -57,7 +57,7 @@ PARITY_BITS = 40
 MAX_BROADCAST_ROWS = 1_000_000
 _COLUMNS = 4096
 _SLICE = 512
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 200_000
 _ADDED = ("n_shingles", "class_id", "component", "component_id")
 
 

@@ -36,7 +36,8 @@ METRICS = {"chars_per_token": (1000, 0.03, "both"), "byte_share": (1000, 0.01, "
            "all_chars_per_token": (1000, 0.1, "both"), "all_byte_share": (1000, 0.01, "above"),
            "all_token_entropy": (1000, 0.2, "both")}
 MAX_MODEL_BYTES = 64 << 20
-_CACHE_WORDS = 600_000
+# about 54 MB of the worker, which keeps them through later stages
+_CACHE_WORDS = 200_000
 _CACHED_BYTES = 64
 _SLICE = 512
 
