@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship_code
+from .common import held, ship_code
 
 # a rank file is sent to the tasks whole; larger ones are refused
 MAX_RANK_FILE_BYTES = 64 << 20
@@ -193,14 +193,9 @@ class Codec:
                 (char[ends - 1] + 1).astype(np.int32))
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
 def _codec(key: tuple, ranks, pattern: str) -> Codec:
-    if key not in _CODECS:  # one per worker and vocabulary
-        _CODECS.clear()
-        _CODECS[key] = Codec(ranks.value, pattern)
-    return _CODECS[key]
+    """One per worker and vocabulary."""
+    return held(("bpe", *key), lambda: Codec(ranks.value, pattern))
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship_code, written
+from .common import held, ship_code, written
 from .components import components
 from .hashing import GOLDEN, Hashes, lists, mixed
 
@@ -137,15 +137,14 @@ def sketches_of(elements: np.ndarray, bands: Bands) -> list[tuple[int, bool, np.
     return out
 
 
-_HASHES = Hashes()
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Hashes]]:
+    """Slices of the batches, with the worker's table of word hashes."""
+    hashes = held("ngram_join", Hashes)
     for batch in batches:
         for at in range(0, batch.num_rows, _SLICE):
-            if len(_HASHES) > _CACHE_WORDS:
-                _HASHES.clear()
-            yield batch.slice(at, _SLICE)
+            if len(hashes) > _CACHE_WORDS:
+                hashes.clear()
+            yield batch.slice(at, _SLICE), hashes
 
 
 def _longs(values: list[np.ndarray]) -> pa.Array:
@@ -169,8 +168,8 @@ def sketches(df: DataFrame, n: int, num: int, den: int, text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
-        for part in _slices(batches):
-            sets = [shingles(t or "", n, _HASHES) for t in part.column(text_col).to_pylist()]
+        for part, hashes in _sliced(batches):
+            sets = [shingles(t or "", n, hashes) for t in part.column(text_col).to_pylist()]
             ids = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) if len(s)
                    else (None, None) for s in sets]
             made = [sketches_of(s, bands) if len(s) else [] for s in sets]
@@ -197,9 +196,9 @@ def _sets(df: DataFrame, n: int) -> DataFrame:
     set than its ``node`` is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for part, hashes in _sliced(batches):
             nodes = part.column("node").to_pylist()
-            sets = [shingles(t or "", n, _HASHES) for t in part.column("text").to_pylist()]
+            sets = [shingles(t or "", n, hashes) for t in part.column("text").to_pylist()]
             own = [i for i, (s, node) in enumerate(zip(sets, nodes)) if len(s) and node ==
                    int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0])]
             yield pa.RecordBatch.from_arrays(

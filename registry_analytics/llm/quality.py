@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_code, written
+from .common import held, ship_code, written
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -36,7 +36,7 @@ METRICS = {"chars_per_token": (1000, 0.03, "both"), "byte_share": (1000, 0.01, "
            "all_chars_per_token": (1000, 0.1, "both"), "all_byte_share": (1000, 0.01, "above"),
            "all_token_entropy": (1000, 0.2, "both")}
 MAX_MODEL_BYTES = 64 << 20
-# about 54 MB of the worker, which keeps them through later stages
+# about 54 MB of the worker
 _CACHE_WORDS = 200_000
 _CACHED_BYTES = 64
 _SLICE = 512
@@ -130,9 +130,6 @@ def word_stats(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]:
     return (len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeat_words(words))
 
 
-_METERS: dict[tuple, Meter] = {}
-
-
 def measure(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """``df`` with the statistics of ``_STATS``; columns with these names are replaced. A
     NULL text counts as empty. Rows are measured one by one, repeated ones included, on
@@ -142,7 +139,7 @@ def measure(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame
     ship_code(df.sparkSession)
     with open(model_path, "rb") as file:
         model = df.sparkSession.sparkContext.broadcast(file.read())
-    key = (model_path, os.path.getmtime(model_path))
+    key = ("quality", model_path, os.path.getmtime(model_path))
     names = [n for n, _ in _STATS]
     kept = [c for c in df.columns if c not in names]
     schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema
@@ -150,10 +147,7 @@ def measure(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _METERS:
-            _METERS.clear()
-            _METERS[key] = Meter(model.value)
-        meter = _METERS[key]
+        meter = held(key, lambda: Meter(model.value))
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
