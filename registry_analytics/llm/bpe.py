@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, ship_code
+from .common import held, released, ship_code
 
 # a rank file is sent to the tasks whole; larger ones are refused
 MAX_RANK_FILE_BYTES = 64 << 20
@@ -87,16 +87,10 @@ def _ragged(unit: str) -> bool:
     return not unit or unit[0].isspace() or unit[-1].isspace()
 
 
-class Codec:
-    """Encoder and decoder of one worker."""
+class Decoder:
+    """The bytes of all tokens, one after the other."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core per task
-        self.tokenizer = rank_tokenizer(ranks)
-        self.pattern = regex.compile(pattern)
-        self.shift = dict(enumerate(byte_characters()))
-        self.after_space: dict[str, bytes] = {}  # ids of " " + key
-        self.bare: dict[str, bytes] = {}  # ids of a match without a space before it
+    def __init__(self, ranks: dict[bytes, int]):
         size = max(ranks.values(), default=-1) + 1
         self.lengths = np.zeros(size, np.int64)
         for token, rank in ranks.items():
@@ -108,6 +102,26 @@ class Codec:
             flat[self.starts[rank]:self.starts[rank] + len(token)] = token
         self.flat = np.frombuffer(bytes(flat), np.uint8)
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total) + np.repeat(self.starts[ids] - (ends - n), n)
+        return self.flat[at].tobytes()
+
+
+class Codec(Decoder):
+    """Encoder and decoder of one worker."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__(ranks)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core per task
+        self.tokenizer = rank_tokenizer(ranks)
+        self.pattern = regex.compile(pattern)
+        self.shift = dict(enumerate(byte_characters()))
+        self.after_space: dict[str, bytes] = {}  # ids of " " + key
+        self.bare: dict[str, bytes] = {}  # ids of a match without a space before it
+
     def _encode_matches(self, matches: list[str]) -> Iterator[bytes]:
         """Ids (int32, as bytes) of each match of the pattern."""
         mapped = [m.encode().decode("latin-1").translate(self.shift) for m in matches]
@@ -175,13 +189,6 @@ class Codec:
             out.append(b"".join([*self._encode_matches(self.pattern.findall(first)), *got]))
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        n = self.lengths[ids]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(self.starts[ids] - (ends - n), n)
-        return self.flat[at].tobytes()
-
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last (exclusive) code point that each token touches."""
         raw = np.frombuffer(text.encode(), np.uint8)
@@ -225,6 +232,7 @@ def _per_batch(df: DataFrame, added: list[tuple[str, str]], work: Callable) -> D
                 part = batch.slice(at, _OUT_ROWS)
                 arrays = [part.column(c) for c in kept] + work(part)
                 yield pa.RecordBatch.from_arrays(arrays, names=kept + names)
+        released()
 
     return df.mapInArrow(run, schema)
 
@@ -264,11 +272,11 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids",
     ``decoded_text`` (broken UTF-8 becomes U+FFFD). NULL ids decode to nothing; an id
     outside the vocabulary fails."""
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
-    key = (rank_path, os.path.getmtime(rank_path), pattern)
+    key = ("bpe-decoder", rank_path, os.path.getmtime(rank_path))
 
     def work(part: pa.RecordBatch) -> list[pa.Array]:
-        codec = _codec(key, ranks, pattern)
-        raw = [codec.decode(np.asarray(v.values if v.is_valid else [], np.int64))
+        decoder = held(key, lambda: Decoder(ranks.value))
+        raw = [decoder.decode(np.asarray(v.values if v.is_valid else [], np.int64))
                for v in part.column(ids_col)]
         out = [pa.array(raw, pa.binary())]
         return out + [pa.array([r.decode("utf-8", "replace") for r in raw])] if as_text else out

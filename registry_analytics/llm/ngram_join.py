@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, ship_code, written
+from .common import held, released, ship_code, written
 from .components import components
 from .hashing import GOLDEN, Hashes, lists, mixed
 
@@ -145,6 +145,8 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             if len(hashes) > _CACHE_WORDS:
                 hashes.clear()
             yield batch.slice(at, _SLICE), hashes
+    hashes.clear()  # the caller's loop still names it
+    released()
 
 
 def _longs(values: list[np.ndarray]) -> pa.Array:

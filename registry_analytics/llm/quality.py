@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, ship_code, written
+from .common import held, released, ship_code, written
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -166,6 +166,8 @@ def measure(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame
                 for (name, kind), values in zip(_STATS, zip(*rows)):
                     arrays.append(pa.array(values, pa.int64() if kind == "long" else pa.float64()))
                 yield pa.RecordBatch.from_arrays(arrays, names=kept + names)
+        del meter
+        released()
 
     return df.mapInArrow(run, schema)
 

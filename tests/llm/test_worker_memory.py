@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
@@ -41,6 +42,31 @@ def test_a_worker_keeps_the_tables_of_one_operator(spark):
         assert worker.kept == ""
 
 
+def test_a_worker_keeps_no_tables_between_tasks(spark):
+    """Tasks go to idle workers in turn: tables kept by each of them would add up."""
+    docs = spark.createDataFrame([(i, f"some more words of text {i}") for i in range(40)],
+                                 "doc_id long, text string").coalesce(1).cache()
+    ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    coded = bpe.encode(docs, ranks, pattern)
+    for work in (quality.measure(docs, public_tokenizers.path(PIECES)).select("n_words"),
+                 ngram_join.sketches(docs, 3, 90, 100).select("n_shingles"),
+                 coded.select("ids"), bpe.decode(coded, ranks, pattern).select("decoded")):
+        assert len(work.collect()) == 40
+        workers = docs.mapInArrow(_kept, "pid long, kept string").collect()
+        # the table of word hashes is emptied, its name may stay
+        assert {k for w in workers for k in w.kept.split(",")} <= {"", "Hashes"}
+
+
+def test_decoding_needs_no_encoder(spark):
+    ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
+    decoder = bpe.Decoder(ranks)
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    assert not hasattr(decoder, "tokenizer")
+    for text in ("some words, 漢字 and 🙂", ""):
+        ids = np.frombuffer(codec.encode([text])[0], np.int32)
+        assert decoder.decode(ids).decode() == text
+
+
 def test_lines_of_several_cuts_are_one_share(spark):
     """Lines equal one in another cut of the same share have one signature, and places."""
     line = "the same line of some words in every document"
