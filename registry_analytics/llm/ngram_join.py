@@ -41,7 +41,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, released, ship_code, written
+from ..session import release_unused
+from .common import held, released, scratch, ship_code, written
 from .components import components
 from .hashing import GOLDEN, Hashes, lists, mixed
 
@@ -52,8 +53,8 @@ BLOCK_ELEMENTS = 400_000
 SKETCH_NODES = 1024
 SKETCH_ELEMENTS = 2_000_000
 PARITY_BITS = 40
-# representatives of candidate classes (two numbers each) that may be broadcast; more are
-# joined by a shuffle
+# representatives of candidate classes, classes of several rows and members of groups (four numbers
+# each at most) that may be broadcast; more are joined by a shuffle
 MAX_BROADCAST_ROWS = 1_000_000
 _COLUMNS = 4096
 _SLICE = 512
@@ -327,34 +328,29 @@ def _verified(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         "a", "b", (common * den >= union * num).alias("holds"))
 
 
-def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
-                       id_col: str = "doc_id", text_col: str = "text",
-                       carry: list[str] | None = None) -> DataFrame:
-    """One row per row of ``df``: the columns ``carry`` (default: the id; those named like a
-    new one are replaced), ``n_shingles``,
-    ``class_id`` (a hash naming its set; NULL for an empty one) and ``component_id``: the
-    smallest id reachable over links den * |A & B| >= num * |A | B|.
+def _few(rows: DataFrame) -> DataFrame:
+    """A written table for a join: broadcast up to ``MAX_BROADCAST_ROWS``."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_ROWS else rows
 
-    NULL and texts without words have an empty set, are linked with nothing and are a
-    component of their own (``component_id`` is their id). Texts of fewer than n words are
-    one n-gram. Equal sets are linked. Rows with equal ids and different texts are
-    different sets; a component without any id has a NULL ``component_id``, but
-    ``class_id`` and ``component`` (a hash naming the component, NULL for an empty set) still
-    tell it apart. Whole texts are read; an empty frame gives an empty result. Two sets count
-    as equal if 128 bits of hash agree.
-    """
-    carry = [c for c in carry or [id_col] if c not in _ADDED]
-    ident = F.col(f"`{id_col}`")
-    docs = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"),
-                     ident.alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = written(sketches(docs, n, num, den).drop("text"), "join-rows")
+
+def _named(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The rows ``carried``, ``id`` with ``n_shingles``, ``node``, ``check``; and of every ``node``,
+    ``check`` its ``component``, ``component_id``. ``docs``: ``carried``, ``id``, ``text``."""
+    # sketches are the widest column: they are written here only, and read by their row's place
+    rows = written(sketches(docs, n, num, den).drop("text").withColumn(
+        "at", F.monotonically_increasing_id()), "join-rows", lasting=True)
     classes = written(
         rows.filter(F.col("node").isNotNull()).groupBy("node", "check", "n_shingles").agg(
             F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id"),
-            F.first("sketches").alias("sketches")), "join-classes")
-
-    parts = classes.select("node", "copies", F.explode("sketches").alias("x")).select(
-        "node", "copies", "x.band", "x.whole", "x.parts")
+            F.min("at").alias("first")), "join-classes")
+
+    several = classes.filter("copies > 1").select("node", "check", "copies", "first")
+    sketched = (rows.filter(F.col("node").isNotNull())
+                .join(_few(several), ["node", "check"], "left")
+                .filter(F.col("first").isNull() | (F.col("first") == F.col("at"))))
+    parts = sketched.select(
+        "node", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"),
+        F.explode("sketches").alias("x")).select("node", "copies", "x.band", "x.whole", "x.parts")
     by_key = Window.partitionBy("key")
     buckets = (parts.select("node", "copies", "band", "whole", F.posexplode("parts"))
                .filter((F.col("col") != 0) | F.col("whole"))
@@ -365,19 +361,20 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     pairs = written(buckets.filter(F.col("node") != F.col("top.node"))
                     .select(F.col("top.node").alias("centre"), "band", "node").distinct(),
                     "join-pairs")
+    release_unused(docs.sparkSession)  # the parts of all sketches
     grouped = pairs.unionByName(
         pairs.select("centre", "band", F.col("centre").alias("node")).distinct())
     members = written(
         grouped.join(classes.select("node", F.col("n_shingles").alias("n")), "node")
         .select(F.xxhash64("centre", "band").alias("grp"), "band", "node", "n"), "join-members")
-    likely = written(_likely_links(members, parts.select("node", "band", "parts"), num, den),
-                     "join-likely")
+    met = _few(written(members.select("node").distinct(), "join-met"))
+    likely = written(_likely_links(members, parts.join(met, "node", "left_semi").select(
+        "node", "band", "parts"), num, den), "join-likely")
 
     nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     reps = written(classes.join(nodes, "node", "left_semi").select("node", "least_id"),
                    "join-reps")
-    few = F.broadcast(reps) if reps.count() <= MAX_BROADCAST_ROWS else reps
-    texts = (docs.select("id", "text").join(few, F.col("id").eqNullSafe(F.col("least_id")))
+    texts = (docs.select("id", "text").join(_few(reps), F.col("id").eqNullSafe(F.col("least_id")))
              .select("node", "text"))
     # rows that repeat an id and text give the same set again
     sets = written(_sets(texts, n).groupBy("node").agg(F.first("elements").alias("elements")),
@@ -397,8 +394,34 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     named = classes.join(comps, "node", "left").select(
         "node", "check", F.coalesce("component", "node").alias("component"), "least_id")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "component").select("node", "check", "component", "component_id")
-    return rows.drop("sketches").join(named, ["node", "check"], "left").select(
+    return rows.drop("sketches", "at"), written(
+        named.join(least, "component").select("node", "check", "component", "component_id"),
+        "join-named", lasting=True)
+
+
+def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
+                       id_col: str = "doc_id", text_col: str = "text",
+                       carry: list[str] | None = None) -> DataFrame:
+    """One row per row of ``df``: the columns ``carry`` (default: the id; those named like a
+    new one are replaced), ``n_shingles``,
+    ``class_id`` (a hash naming its set; NULL for an empty one) and ``component_id``: the
+    smallest id reachable over links den * |A & B| >= num * |A | B|.
+
+    NULL and texts without words have an empty set, are linked with nothing and are a
+    component of their own (``component_id`` is their id). Texts of fewer than n words are
+    one n-gram. Equal sets are linked. Rows with equal ids and different texts are
+    different sets; a component without any id has a NULL ``component_id``, but
+    ``class_id`` and ``component`` (a hash naming the component, NULL for an empty set) still
+    tell it apart. Whole texts are read; an empty frame gives an empty result. Two sets count
+    as equal if 128 bits of hash agree.
+    """
+    carry = [c for c in carry or [id_col] if c not in _ADDED]
+    ident = F.col(f"`{id_col}`")
+    docs = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"),
+                     ident.alias("id"), F.col(f"`{text_col}`").alias("text"))
+    with scratch(df.sparkSession):
+        rows, named = _named(docs, n, num, den)
+    return rows.join(named, ["node", "check"], "left").select(
         *[F.col("carried").getField(c).alias(c) for c in carry], "n_shingles",
         F.col("node").alias("class_id"), "component",
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
